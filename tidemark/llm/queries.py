@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, quality
-from tidemark.llm.common import cut, table
+from tidemark.llm import bpe, chat, mixing, quality, secrets, simhash
+from tidemark.llm.common import cut, table, text_of, word_count
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,24 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, word_count(text_of("text")), F.array("source"))
+    own = F.get("__sources", 0)
+    return mixed.select("doc_id", F.col("__size").alias("size"), own["size"].alias("source_size"), own["target"].alias("target"), (F.col("__size") * F.size("__copies")).cast("long").alias("taken"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.told(F.col("__base")), 256).alias("base_sha256"), secrets.told(F.col("__spans")).alias("spans"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed = cut(simhash.fingerprints(table(spark, sf_dir, "documents"), keep=("doc_id",)))
+    return simhash.with_components(printed).select("doc_id", simhash.hexed(F.col("__fp")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.Rules()
     measured = cut(quality.measure(table(spark, sf_dir, "documents"), keep=("doc_id", "lang", "source")))
@@ -41,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
