@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, mixing, quality, secrets, simhash
+from tidemark.llm import bpe, chat, mixing, quality, secrets, simhash, warc
 from tidemark.llm.common import cut, table, text_of, word_count
 
 #: Folder of the public vocabulary files.
@@ -54,10 +54,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(measured, rules).select("doc_id", *q, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = warc.arc_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    path = warc.write(warc.convert(arcs, warc.revisits(arcs)))
+    return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, url FROM pages
+        ), d AS (SELECT page_id, n, sha256(html) AS digest, min(page_id) OVER (PARTITION BY sha256(html)) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM d
+    """,
+}
