@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, mixing, quality, secrets, simhash, warc
+from tidemark.llm import bpe, chat, html, mixing, quality, secrets, simhash, warc
 from tidemark.llm.common import cut, table, text_of, word_count
 
 #: Folder of the public vocabulary files.
@@ -29,6 +29,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, word_count(text_of("text")), F.array("source"))
@@ -65,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_html_extraction, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (
