@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, html, mixing, quality, secrets, simhash, warc
+from tidemark.llm import bpe, chat, html, mixing, quality, secrets, simhash, warc, winnow
 from tidemark.llm.common import cut, table, text_of, word_count
 
 #: Folder of the public vocabulary files.
@@ -47,6 +47,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.told(F.col("__base")), 256).alias("base_sha256"), secrets.told(F.col("__spans")).alias("spans"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = cut(simhash.fingerprints(table(spark, sf_dir, "documents"), keep=("doc_id",)))
     return simhash.with_components(printed).select("doc_id", simhash.hexed(F.col("__fp")).alias("fingerprint"), "component_id")
@@ -70,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_html_extraction, op4_mixing, op5_secret_scans, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_html_extraction, op4_mixing, op5_secret_scans, op6_fingerprints, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (
