@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, html, mixing, quality, secrets, simhash, warc, winnow
+from tidemark.llm import bpe, chat, html, licenses, mixing, quality, secrets, simhash, warc, winnow
 from tidemark.llm.common import cut, table, text_of, word_count
 
 #: Folder of the public vocabulary files.
@@ -29,6 +29,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_digest", "license")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -74,8 +78,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_html_extraction, op4_mixing, op5_secret_scans, op6_fingerprints, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_license_scans, op3_html_extraction, op4_mixing, op5_secret_scans, op6_fingerprints, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": licenses.sql(),
     "op9_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, url FROM pages
