@@ -243,7 +243,10 @@ class WriteTxn(Reader):
         if v.base is None:
             return None
         got = v.base.filter(F.col(PK) == F.lit(pk)).limit(1).collect()
-        return ({c: got[0][c] for c in table.spec.columns}, got[0][REV]) if got else None
+        if not got:
+            return None
+        row = got[0].asDict(recursive=True)
+        return {c: row[c] for c in table.spec.columns}, row[REV]
 
     def _put(self, table: Table, v: Version, pk: bytes, new: dict | None, old: tuple[dict, int] | None) -> None:
         rev = v.revision + 1

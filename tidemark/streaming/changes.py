@@ -65,7 +65,8 @@ class ChangeIterator:
     def _take(self, rows: DataFrame) -> Iterator[Change]:
         cols = self.table.spec.columns
         for r in rows.toLocalIterator():
-            change = Change({c: r[c] for c in cols}, r["rev"], r["deleted"])
+            own = r.asDict(recursive=True)
+            change = Change({c: own[c] for c in cols}, r["rev"], r["deleted"])
             self.take(change.rev, change.deleted)
             yield change
 
