@@ -122,25 +122,25 @@ def mix(docs: DataFrame, size: Column, member: Column, seed: int = 42, weights:
         ends = list(accumulate(flow[s] for s in order))
         rows.append((list(p), patterns[p], [(s, e) for s, e in zip(order, ends, strict=True)], [(s, sizes[s], quotas[s]) for s in order]))
     spark = docs.sparkSession
-    schema = "p array<string>, total long, cuts array<struct<source: string, end: long>>, sources array<struct<source: string, size: long, target: double>>"
+    schema = "__p array<string>, __total long, __cuts array<struct<source: string, end: long>>, __sources array<struct<source: string, size: long, target: double>>"
     plan = spark.createDataFrame(rows, schema)
     # a bucket's start on its pattern's line; a pattern has 2**BITS buckets at most
-    starts = spark.createDataFrame([], "p array<string>, b int, start long") if not rows else before(sums)
-    placed = sized.join(starts, same("__pattern", "p") & (F.col("__bucket") == F.col("b")), "inner").drop("p", "b")
+    starts = spark.createDataFrame([], "__p array<string>, __b int, __start long") if not rows else before(sums)
+    placed = sized.join(starts, same("__pattern", "__p") & (F.col("__bucket") == F.col("__b")), "inner").drop("__p", "__b")
     from pyspark.sql import Window
 
     w = Window.partitionBy("__pattern", "__bucket").orderBy("__mark", F.col(f"`{key}`"), "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("start") + F.sum("__size").over(w) - F.col("__size") / 2
-    placed = placed.withColumn("__middle", middle).drop("start")
-    joined = placed.join(small(plan), same("__pattern", "p"))
+    middle = F.col("__start") + F.sum("__size").over(w) - F.col("__size") / 2
+    placed = placed.withColumn("__middle", middle).drop("__start")
+    joined = placed.join(small(plan), same("__pattern", "__p"))
 
     def copy(e: Column) -> Column:
-        at = F.col("__middle") + e * F.col("total")
-        hit = F.filter("cuts", lambda c: c["end"] >= at)
+        at = F.col("__middle") + e * F.col("__total")
+        hit = F.filter("__cuts", lambda c: c["end"] >= at)
         return F.when(F.size(hit) > 0, F.struct(F.get(hit, 0)["source"].alias("source"), e.cast("int").alias("epoch")))
 
     copies = F.filter(F.transform(F.array(*map(F.lit, range(most))), copy), lambda c: c.isNotNull())
-    return joined.select(*own, "__size", F.col("sources").alias("__sources"), F.when(F.col("__size") > 0, copies).otherwise(F.slice(copies, 1, 1)).alias("__copies"))
+    return joined.select(*own, "__size", "__sources", F.when(F.col("__size") > 0, copies).otherwise(F.slice(copies, 1, 1)).alias("__copies"))
 
 
 def before(sums: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def before(sums: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(F.col("__pattern").alias("p"), F.col("__bucket").alias("b"), F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("start"))
+    return sums.select(F.col("__pattern").alias("__p"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("__start"))
 
 
 def same(a: str, b: str) -> Column:
