@@ -1,0 +1,405 @@
+"""The corpus operators against plain Python versions, and their edge cases."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, chat, html, licenses, mixing, quality, secrets, simhash, warc, winnow
+from tidemark.llm.common import text_of, word_count, words
+
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+#: Null and empty values, ties, repeated rows, a long text, and columns named like those of the operators.
+EDGE = [(None, None, None, None), (1, "", "en", "a"), (2, " \n\t ", "en", "a"), (3, "one two three", None, "b"), (3, "one two three", None, "b"), (4, "a b c " * 20000, "en", None), (5, "é 𝒳 ÀÉ token=abcdefghijkl1234", "fr", "b")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rows = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string")
+    clashing = ["size", "n_words", "kept", "fp", "a", "b", "anchor", "start", "total", "cuts", "value", "words", "lines", "digest", "license", "row", "n", "p"]
+    return rows.select("*", *[F.lit("x").alias(c) for c in clashing])
+
+
+# --- chat -----------------------------------------------------------------------
+
+SAID = "\\### Assistant: </turn> ok"
+
+
+def test_chat(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    nasty = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID), (-8, 0, "user", None), (-8, 1, "assistant", "\\\\/turn>\\</turn></turn>\n### User: <"), (-9, 0, "oth:er ### \\", "x"), (-9, 1, None, "y"), (None, 0, "user", "z"), (-10, 0, "assistant", "no"), (-11, 0, "user", "a"), (-11, 0, "user", "a")]
+    rows = rows.unionByName(spark.createDataFrame(nasty, rows.schema)).withColumn("segments", F.lit("clash")).withColumn("turns", F.lit(1))
+    out = {r.conv_id: r for r in chat.format_chats(rows).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss_text(F.col("segments")).alias("loss")).collect()}
+    want = collections.defaultdict(list)
+    for r in rows.collect():
+        want[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    assert set(out) == set(want)
+    for k, turns in want.items():
+        turns, r = sorted(turns), out[k]
+        assert [(t.role, t.text) for t in r.turns] == [t[1:] for t in turns]
+        assert r.loss == "".join(t[2] for t in turns if t[1] == "assistant") and r.n_turns == len(turns)
+        assert r.formatted == "".join(s.text for s in r.segments)
+        roles, state, bad = [t[1] for t in turns], "start", None
+        for n, role in enumerate(roles):
+            ok = (state, role) in {("start", "system"), ("start", "user"), ("system", "user"), ("assistant", "user"), ("user", "assistant")}
+            bad, state = n if bad is None and not ok else bad, role
+        assert (r.first_bad_turn, r.valid) == (bad, bad is None and state == "assistant")
+    assert out[-7].formatted.count("</turn>") == 2 and out[-7].formatted.count("### ") == 2
+    assert chat.format_chats(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        chat.Template(control=("aba", "</turn>"))
+
+
+# --- licences ---------------------------------------------------------------------
+
+
+def test_licenses(spark, edge):
+    mit = licenses.KNOWN[1][1]
+    rows = [(1, f"Copyright (c) 2020 Some One\n\n{mit.upper().replace('SUBLICENSE', 'SUB-LICENSE')}"), (2, "released under   the MIT Licence"), (3, None), (4, " "), (5, mit + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "MIT", 2: "MIT notice", 3: None, 4: None, 5: None}
+    assert all(r.license_digest == digest(licenses.canonical(dict(rows)[r.doc_id] or "")) for r in got)
+    assert licenses.scan(edge.drop("license")).count() == len(EDGE) and licenses.scan(df.limit(0)).count() == 0
+
+
+# --- html -----------------------------------------------------------------------------
+
+
+def test_html(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    for r in html.extract(pages.withColumn("text", F.lit(0)).withColumn("page", F.col("html"))).collect():
+        body = re.search("<article>(.*?)</article>", r.page, re.S)[1]
+        parts = re.split(r"</?(?:h1|p|div|ul|li)\b[^>]*>", body)
+        lines = (" ".join(html.unescape(re.sub(r"<br ?/?>|</?b>", " ", x)).split()) for x in parts)
+        assert r.text == "\n".join(x for x in lines if x)
+
+
+def test_html_cases(spark):
+    long = "words and more " * 30
+    page = f"""<body><header><h1>Site</h1></header><div id="menu"><a href=x>a</a></div><div class="content"><h1>Title &amp; x</h1>
+    <p>{long}</p><p>two<br>lines <b>bold</p><ul><li>one<li>two</ul><form>f</form><div class=ad>buy</div></div>
+    <div class="comments"><p>{'bad comment ' * 90}</p></div><div role=complementary><p>side</p></div><footer>f</footer>"""
+    assert html.main_text(page).split("\n") == ["Title & x", long.strip(), "two lines bold", "one", "two"]
+    assert html.main_text("plain text < b & c") == "plain text < b & c" and html.main_text("<p>a<p>b") == "a\nb"
+    assert html.main_text("<script>var t='</p>'") == "" and html.main_text('<p title="a>b">x</p>') == "x"
+    df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>x</p>" * 5000)], "page_id long, html string")
+    assert [(r.page_id, len(r.text)) for r in html.extract(df).collect()] == [(1, 0), (2, 0), (2, 0), (3, 9999)]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+# --- mixing ---------------------------------------------------------------------------
+
+
+def test_flow():
+    assert mixing.targets({"a": 10, "b": 100, None: 50}) == {"a": 20.0, "b": 120.0, None: 100.0}
+    assert mixing.targets({}) == {}
+    got = mixing.route({("a",): 100, ("a", "b"): 50, ("b",): 10}, {"a": 150, "b": 80}, 2)
+    flow = lambda s: sum(x.get(s, 0) for x in got.values())
+    assert flow("a") == 150 and flow("b") == 80
+    # the least cost repeats no more than it must: 230 words from 160
+    assert sum(max(0, sum(x.values()) - n) for x, n in zip(got.values(), (100, 50, 10), strict=True)) == 70
+
+
+def test_mixing(spark, docs, edge):
+    mixed = lambda df: mixing.mix(df, word_count(text_of("text")), F.array("source"))
+    rows = mixed(docs).collect()
+    taken, aim = collections.Counter(), {}
+    for r in rows:
+        assert r["__size"] == len(WORD.findall(r.text or "")) and len(r["__copies"]) <= 2
+        taken[r.source] += len(r["__copies"]) * r["__size"]
+        aim[r.source] = r["__sources"][0].target
+    longest = max(r["__size"] for r in rows)
+    assert all(abs(taken[s] - aim[s]) <= longest for s in aim)
+    pick = lambda rs: {r.doc_id: len(r["__copies"]) for r in rs}
+    assert pick(rows) == pick(mixed(docs.repartition(5)).collect())
+    assert mixed(edge).count() == len(EDGE) and mixed(edge.limit(0)).count() == 0
+    both = mixing.mix(edge, word_count(text_of("text")), F.array("source", F.lit("b")))
+    assert both.count() == len(EDGE)
+
+
+# --- secrets -------------------------------------------------------------------------
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    for k, p, n in ((1, "AKIA[A-Z0-9]+", 18), (2, "[0-9a-f]+", 16)):
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text) if len(m[0]) >= n]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_secrets(spark, docs, edge):
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rnd.choice(letters) for _ in range(40))
+    rows = [
+        (-1, 'x password = "abcd1234efgh5678" y AKIA' + "ABCD1234" * 3 + " deadbeef00112233 é token: secret: abcdefghijklmnop API_KEY=short1 z"),
+        (-2, None),
+        (-3, f"a 𝒳 {key} thisisaverylongwordindeedwithoutanything getElementByIdentifierName some-file-name-with-dashes-here"),
+        (-4, " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(700))),
+        (-5, f"secret={key}"),
+    ]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = secrets.scan(every).select("doc_id", "text", "__spans", secrets.told(F.col("__base")).alias("base"), secrets.redacted(text_of("text"), F.col("__spans")).alias("red"))
+    out = {r.doc_id: r for r in found.collect()}
+    for r in out.values():
+        assert r.base == base_spans(r.text or "")
+        left, at = [], 0
+        for s in r["__spans"]:
+            if s.start >= at:
+                left += [(r.text or "")[at : s.start], "[SECRET]"]
+            at = max(at, s.end)
+        assert r.red == "".join(left) + (r.text or "")[at:]
+    assert [(s.kind, out[-3].text[s.start : s.end]) for s in out[-3]["__spans"]] == [("random", key)]
+    assert [s.kind for s in out[-5]["__spans"]] == ["assign"]
+    assert secrets.scan(edge).count() == len(EDGE) and secrets.scan(edge.limit(0)).count() == 0
+
+
+# --- winnowing -------------------------------------------------------------------------
+
+
+def brute_winnow(text, k, w):
+    if not text:
+        return []
+    k, hashes = min(k, len(text)), []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for ch in text[i : i + k]:
+            h = (h * winnow.BASE + ord(ch) + 1) % 2**64
+        h = (h ^ (h >> 33)) * winnow.MIX % 2**64
+        hashes.append(h ^ (h >> 33))
+    w, chosen = min(w, len(hashes)), set()
+    for i in range(len(hashes) - w + 1):
+        least = min(hashes[i : i + w])
+        chosen.add(max(j for j in range(i, i + w) if hashes[j] == least))
+    return [(hashes[j], j) for j in sorted(chosen)]
+
+
+def test_winnow():
+    rnd = random.Random(2)
+    for k, w in ((32, 64), (5, 7), (1, 1), (7, 3), (33, 10)):
+        for n in (0, 1, 2, 5, 31, 32, 33, 64, 95, 96, 200):
+            text = "".join(rnd.choice("ab é𝒳") for _ in range(n))
+            a, b = winnow.winnow(text, k, w)
+            assert list(zip(a.tolist(), b.tolist(), strict=True)) == brute_winnow(text, k, w)
+
+
+def test_edited(spark, docs, edge):
+    tiny = spark.createDataFrame([(None, "abcd"), (3, None), (9, "xyz"), (9, "xyz")], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), tiny, tiny.limit(1), tiny.limit(0), edge.filter("doc_id < 4")):
+        got = sorted((r.doc_id is not None, r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in winnow.edited(df).collect())
+        rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is not None, x))
+        want = []
+        for i, (k, text) in enumerate(rows):
+            after, half = rows[(i + 1) % len(rows)][1], len(text) // 2
+            new = text[: len(text) - half] + after[:half]
+            want.append((k is not None, k, len(text), digest(new), winnow.told(*winnow.winnow(text)), winnow.told(*winnow.winnow(new))))
+        assert got == sorted(want)
+    assert winnow.fingerprints(edge.drop("fingerprint")).count() == len(EDGE)
+
+
+# --- simhash -----------------------------------------------------------------------------
+
+
+def brute_simhash(text):
+    found = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    if not found:
+        return 0
+    grams = [" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))]
+    ones = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), seed=42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(grams))
+
+
+def brute_components(prints):
+    """id to its component's smallest id, for (id, fingerprint) pairs."""
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    own = sorted({p for _, p in prints})
+    for i, x in enumerate(own):
+        for y in own[:i]:
+            if (x ^ y).bit_count() <= 3:
+                parent[find(x)] = find(y)
+    least = {}
+    for k, p in prints:
+        least[find(p)] = min(least.get(find(p), k), k)
+    return {k: least[find(p)] for k, p in prints}
+
+
+def test_simhash(docs, texts, edge):
+    out = simhash.with_components(simhash.fingerprints(docs, keep=("doc_id",))).collect()
+    prints = [(k, brute_simhash(t)) for k, t in texts.items()]
+    assert {r.doc_id: r["__fp"] % 2**64 for r in out} == dict(prints)
+    assert {r.doc_id: r.component_id for r in out} == brute_components(prints)
+    got = simhash.with_components(simhash.fingerprints(edge)).collect()
+    assert len(got) == len(EDGE) and {r.component_id for r in got if r.doc_id in (None, 1, 2)} == {1}
+    assert simhash.with_components(simhash.fingerprints(edge.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_links(spark, block):
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    prints = set(base)
+    for b in base[:8]:
+        for _ in range(40):
+            x = b
+            for _ in range(rnd.randrange(1, 5)):
+                x ^= 1 << rnd.randrange(64)
+            prints.add(x)
+    prints |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(i)}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    pairs = list(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(k, signed(p)) for k, p in pairs], "doc_id long, fp long")
+    comp = {r.node % 2**64: r.root % 2**64 for r in simhash.components(simhash.links(df.select("fp"), block)).collect()}
+    want = brute_components(pairs)
+    groups = collections.defaultdict(set)
+    for k, p in pairs:
+        groups[want[k]].add(comp.get(p, p))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+# --- quality -------------------------------------------------------------------------------
+
+
+def test_quality(docs, texts, edge):
+    rules = quality.Rules()
+    out = quality.judged(quality.measure(docs, keep=("doc_id", "lang", "source")).cache(), rules).collect()
+    for r in out:
+        text = texts[r.doc_id]
+        w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        grams = list(zip(w, w[1:], w[2:], strict=False))
+        n, cover = collections.Counter(grams), set()
+        for i, g in enumerate(grams):
+            if n[g] > 1:
+                cover |= {i, i + 1, i + 2}
+        q = r["__quality"]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover))
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == want
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        assert r["__base_failed"] == failed and not (failed and r["__kept"])
+    symbols = [r for r in out if not r["__base_failed"] and r["__quality"].n_symbols > 0.4 * r["__quality"].n_words]
+    assert symbols and not any(r["__kept"] for r in symbols)
+    clean = [r for r in out if not r["__base_failed"] and r["__quality"].n_symbols == r["__quality"].n_dup_lines == 0]
+    assert sum(r["__kept"] for r in clean) == len(clean)
+    got = quality.judged(quality.measure(edge).cache(), rules).collect()
+    assert len(got) == len(EDGE) and not any(r["__kept"] for r in got)
+    assert quality.judged(quality.measure(edge.limit(0)).cache(), rules).count() == 0
+
+
+def test_words(spark):
+    df = spark.createDataFrame([("",), (" \x0b\x0c ",), ("a",), ("\ta \r\n b\x0bc ",), ("x y z",)], "text string")
+    got = [(r.w, r.n) for r in df.select(words(F.col("text")).alias("w"), word_count(F.col("text")).alias("n")).collect()]
+    assert got == [([], 0), ([], 0), (["a"], 1), (["a", "b", "c"], 3), (["x y z"], 1)]
+
+
+# --- warc -----------------------------------------------------------------------------------
+
+
+def test_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    body = "<p>same é\r\n\r\n</p>" * 20
+    more = [(1000 + i, f"http://a b/{i}", body) for i in range(5)] + [(2000, None, None), (2001, "u", ""), (2002, "u", "short"), (2003, "v", "short"), (1003, "http://a b/3", body)]
+    pages = pages.unionByName(spark.createDataFrame(more, pages.schema))
+    arcs = warc.arc_of(pages)
+    got = warc.read(spark, warc.write(warc.convert(arcs, warc.revisits(arcs)))).collect()
+    payload = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    first = {}
+    for k in sorted(payload):
+        first.setdefault(payload[k], k)
+    ids = {r.key: r.record_id for r in got}
+    assert len(got) == pages.count()
+    for r in got:
+        b = payload[r.key]
+        of = first[b] if len(b) >= 100 and first[b] != r.key else None
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), hashlib.sha256(b).hexdigest(), "response" if of is None else "revisit", of)
+        assert of is None or r.refers_to_id == ids[of]
+    empty = warc.arc_of(pages.limit(0))
+    assert warc.read(spark, warc.write(warc.convert(empty, warc.revisits(empty)))).count() == 0
+
+
+def test_arc_versions():
+    block = lambda v: (d := f"{v} 0 x\n{' '.join(warc.FIELDS[v])}\n", f"filedesc://f 0.0.0.0 20200102030405 text/plain {'200 - - 0 f ' if v == 2 else ''}{len(d)}\n{d}")[1]
+    one = block(1) + "http://a/x y 1.2.3.4 20200102030405 text/html 5\nabcde\nhttp://b 1.2.3.4 20200102 text/html 0\n\n"
+    got = list(warc.parse_arc(one.encode()))
+    assert [(f["URL"], c) for f, c in got] == [("http://a/x y", b"abcde"), ("http://b", b"")]
+    two = block(2) + "http://a 1.2.3.4 20200102030405 text/html 200 sum - 17 f 3\nab\n\n"
+    assert [(f["Result-code"], c) for f, c in warc.parse_arc(two.encode())] == [("200", b"ab\n")]
+    named, _ = warc.to_warc(got[0][0], b"HTTP/1.1 200 OK\r\n\r\nhi", None)
+    assert named["WARC-Date"] == "2020-01-02T03:04:05Z" and named["WARC-Payload-Digest"] == f"sha256:{hashlib.sha256(b'hi').hexdigest()}"
+    for bad in (b"x y z\n", one.replace("text/html 5", "text/html 5000").encode()):
+        with pytest.raises((ValueError, IndexError)):
+            list(warc.parse_arc(bad))
+    assert list(warc.parse_arc(b"")) == []
+
+
+# --- BPE ---------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(bpe.Automaton(bpe.load_spec(VOCABULARY)))
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY)
+
+    def run(text):
+        ids = t.encode(text, add_special_tokens=False).ids
+        return " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)
+
+    return run
+
+
+def test_bpe(encoder, library, texts):
+    for text in list(texts.values())[:120]:
+        assert encoder.encode(text) == library(text)
+    rnd = random.Random(1)
+    pool = [*"aaabbcdeéèÉÀ ß'ssdtllvere\n\t\x1c\x1f\x85​́　ΣΑςİıǅﬁ①²½中文日本語한글🙂‍0123456789!!??..--__<>|", "<|endoftext|>", "<|startoftext|>", "'ll", "'S", "the", "Hello", "and", "in ", "ing"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randrange(25)))
+        assert encoder.encode(text) == library(text), text
+    for text in ("a" * 5000, "ab" * 3000, "lol" * 999, "nananana" * 50, "!" * 1001, "é" * 777, "théandin" * 4000):
+        assert encoder.encode(text) == library(text)
+
+
+def test_bpe_frame(edge, library):
+    for r in bpe.encode_texts(edge, VOCABULARY).join(edge.select("doc_id", F.col("text").alias("body")).distinct(), "doc_id").collect():
+        ids, back = library(r.body or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids.split()), digest(ids), digest(back)) and r.token_ids == list(map(int, ids.split()))
+    assert bpe.encode_texts(edge.limit(0), VOCABULARY).count() == 0
