@@ -45,7 +45,12 @@ def range_of(x: Column, bounds: list[int]) -> Column:
 
 
 def running_count(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, ranges: int = RANGES) -> DataFrame:
-    """df with start plus the number of rows up to each, in order, for which counted holds. No task holds more than a range.
+    """df with start plus the number of rows up to each, in order, for which counted holds. No task holds more than a range."""
+    return numbered(df, order, counted, into, start, ranges)[0]
+
+
+def numbered(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, ranges: int = RANGES) -> tuple[DataFrame, int]:
+    """running_count, and the count after the last row.
 
     Ranges end at quantiles, so they are even whatever the order column's distribution; their counts, one number each, come to the driver.
     """
@@ -60,28 +65,48 @@ def running_count(df: DataFrame, order: str, counted: Column, into: str, start:
         total += totals.get(k) or 0
     w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offset = F.get(F.array(*map(F.lit, offsets)), F.col("__range"))
-    return ranged.withColumn(into, (offset + F.sum("__counted").over(w)).cast("bigint")).drop("__range", "__counted")
+    return ranged.withColumn(into, (offset + F.sum("__counted").over(w)).cast("bigint")).drop("__range", "__counted"), total
+
+
+def inserted(base: DataFrame | None, graveyard: DataFrame | None, ops: DataFrame, columns: list[str], revision: int, name: str = "ops") -> tuple[DataFrame, DataFrame | None, int]:
+    """merged for inserts alone: each has an effect, so neither the rows that are there nor a key's earlier operations are looked up."""
+    staged = written(ops.drop("_op"), name)
+    counted, top = numbered(staged, "_seq", F.lit(True), REV, revision)
+    row = F.struct(*columns, PK, REV)
+    # the last writer of a key, by a partial aggregation, so that a hot key isn't gathered
+    final = counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, REV).alias("__row")).select("__row.*")
+    if base is None:
+        return final, graveyard, top
+    final = written(final, name)
+    live = base.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(final)
+    return live, graveyard if graveyard is None else graveyard.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV), top
 
 
 def merged(base: DataFrame, graveyard: DataFrame, ops: DataFrame, columns: list[str], revision: int, tracked: bool, name: str = "ops") -> tuple[DataFrame, DataFrame, int]:
-    """The live rows, graveyard and revision after ops: insert replaces, delete of what isn't there has no effect and no revision."""
+    """The live rows, graveyard and revision after ops: insert replaces, delete of what isn't there has no effect and no revision.
+
+    A key's operations are ordered in one task, which holds them only in a sorted, spilling window.
+    """
     by_key = Window.partitionBy(PK).orderBy("_seq")
     there = base.select(F.col(PK).alias("__pk"), F.lit(True).alias("__there"))
     known = ops.join(there, F.col(PK) == F.col("__pk"), "left").drop("__pk")
     before = F.coalesce(F.lag("_op").over(by_key) == "insert", F.coalesce("__there", F.lit(False)))
     marked = known.withColumn("__effective", (F.col("_op") == "insert") | before)
-    prior = F.last(F.when(F.col("_op") == "insert", F.struct(*columns)), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
-    marked = written(marked.withColumn("__prior", prior).filter("__effective").drop("__effective", "__there"), name)
-    numbered = running_count(marked, "_seq", F.lit(True), REV, revision)
-    final = written(numbered.withColumn("__last", F.row_number().over(Window.partitionBy(PK).orderBy(F.desc("_seq")))).filter("__last = 1").drop("__last"), name)
+    if tracked:
+        prior = F.last(F.when(F.col("_op") == "insert", F.struct(*columns)), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+        marked = marked.withColumn("__prior", prior)
+    marked = written(marked.filter("__effective").drop("__effective", "__there"), name)
+    counted, top = numbered(marked, "_seq", F.lit(True), REV, revision)
+    row = F.struct(*counted.columns)
+    final = written(counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, "_seq").alias("__row")).select("__row.*"), name)
     alive, gone = final.filter("_op = 'insert'"), final.filter("_op = 'delete'")
     live = base.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(alive.select(*columns, PK, REV))
-    grave = graveyard.join(alive.select(PK), PK, "left_anti").select(*columns, PK, REV)
+    grave = graveyard.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV)
     if tracked:
         old = base.select(F.col(PK).alias("__pk"), F.struct(*columns).alias("__old"))
         dead = gone.join(old, F.col(PK) == F.col("__pk"), "left").select(F.coalesce("__prior", "__old").alias("o"), PK, REV).select("o.*", PK, REV)
-        grave = grave.join(gone.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(dead)
-    return live, grave, revision + marked.count()
+        grave = grave.unionByName(dead)
+    return live, grave, top
 
 
 #: Merges that may be applied in any grouping, so that partial results combine before the shuffle.

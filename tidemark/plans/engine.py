@@ -328,19 +328,26 @@ class WriteTxn(Reader):
 
     def insert_frame(self, table: Table, rows: DataFrame, order_by: str) -> None:
         """Upserts of a frame's rows in order of a column of unique integers."""
-        self.apply(table, rows.withColumn("_op", F.lit("insert")), order_by)
+        self.apply(table, rows.withColumn("_op", F.lit("insert")), order_by, inserts=True)
 
     def delete_frame(self, table: Table, rows: DataFrame, order_by: str) -> None:
         self.apply(table, rows.withColumn("_op", F.lit("delete")), order_by)
 
-    def apply(self, table: Table, ops: DataFrame, order_by: str) -> None:
-        """A frame of operations (`_op` is insert or delete) in order of a column of unique integers."""
+    def apply(self, table: Table, ops: DataFrame, order_by: str, inserts: bool = False) -> None:
+        """A frame of operations (`_op` is insert or delete) in order of a column of unique integers; inserts: all are inserts."""
         v = self._mine(table)
         cols = table.spec.columns
         known = [F.col(f"`{c}`").cast(table.spec.schema[c].dataType).alias(c) if c in ops.columns else F.lit(None).cast(table.spec.schema[c].dataType).alias(c) for c in cols]
         staged = ops.select(*known, "_op", F.col(f"`{order_by}`").cast("bigint").alias("_seq")).withColumn(PK, table.spec.primary.key())
-        live, grave, rev = commit.merged(table.live(v), table.graveyard(v), staged, cols, v.revision, bool(table.trackers), table.name)
-        live, grave = commit.written(live, table.name, PK), commit.written(grave, f"{table.name}-graveyard", REV)
+        grave = table.graveyard(v) if v.dead is not None or v.grave else None
+        if inserts:
+            base = table.live(v) if v.base is not None or v.over else None
+            live, grave, rev = commit.inserted(base, grave, staged, cols, v.revision, table.name)
+        else:
+            live, grave, rev = commit.merged(table.live(v), table.graveyard(v), staged, cols, v.revision, bool(table.trackers), table.name)
+            grave = grave if table.trackers or v.dead is not None or v.grave else None
+        live = commit.written(live, table.name, PK)
+        grave = None if grave is None else commit.written(grave, f"{table.name}-graveyard", REV)
         self.versions[table.name] = replace(v, revision=rev, base=live, dead=grave, over={}, grave={})
         self.deltas[table.name].append(Delta(b"", None, None, bulk=True))
 
@@ -350,13 +357,14 @@ class WriteTxn(Reader):
         cols = table.spec.columns
         staged = rows.select(*cols, F.col(f"`{order_by}`").cast("bigint").alias("__order")).withColumn(PK, table.spec.primary.key())
         # every row is one revision: a key's row has that of its last
-        numbered = commit.written(commit.running_count(staged, "__order", F.lit(True), REV, v.revision), table.name)
+        counted, top = commit.numbered(commit.written(staged, table.name), "__order", F.lit(True), REV, v.revision)
         live = table.live(v)
-        done = commit.modified(live, numbered, REV, cols, folds)
-        out = live.join(done.select(PK), PK, "left_anti").select(*cols, PK, REV).unionByName(done.select(*cols, PK, REV))
-        grave = table.graveyard(v).join(done.select(PK), PK, "left_anti").select(*cols, PK, REV)
-        out, grave = commit.written(out, table.name, PK), commit.written(grave, f"{table.name}-graveyard", REV)
-        self.versions[table.name] = replace(v, revision=v.revision + numbered.count(), base=out, dead=grave, over={}, grave={})
+        done = commit.written(commit.modified(live, counted, REV, cols, folds), table.name)
+        out = commit.written(live.join(done.select(PK), PK, "left_anti").select(*cols, PK, REV).unionByName(done.select(*cols, PK, REV)), table.name, PK)
+        grave = None
+        if v.dead is not None or v.grave:
+            grave = commit.written(table.graveyard(v).join(done.select(PK), PK, "left_anti").select(*cols, PK, REV), f"{table.name}-graveyard", REV)
+        self.versions[table.name] = replace(v, revision=top, base=out, dead=grave, over={}, grave={})
         self.deltas[table.name].append(Delta(b"", None, None, bulk=True))
 
     def register_initializer(self, table: Table, name: str) -> Callable[[WriteTxn], None]:
