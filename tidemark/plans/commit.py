@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.access import PK, REV
 
-#: Ranges of the order column for the running count; each is counted and numbered on its own.
-RANGES = 256
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one is set only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,45 +29,34 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def range_of(x: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below x, by halving; stays in generated code."""
-    def below(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= bounds[mid], below(mid + 1, hi)).otherwise(below(lo, mid))
-
-    return below(0, len(bounds))
-
-
-def running_count(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, ranges: int = RANGES) -> DataFrame:
+def running_count(df: DataFrame, order: str, counted: Column, into: str, start: int = 0) -> DataFrame:
     """df with start plus the number of rows up to each, in order, for which counted holds. No task holds more than a range."""
-    return numbered(df, order, counted, into, start, ranges)[0]
+    return numbered(df, order, counted, into, start)[0]
 
 
-def numbered(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, ranges: int = RANGES) -> tuple[DataFrame, int]:
+def numbered(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, name: str = "ranges") -> tuple[DataFrame, int]:
     """running_count, and the count after the last row.
 
-    Ranges end at quantiles, so they are even whatever the order column's distribution; their counts, one number each, come to the driver.
+    df is dealt into as many ranges of the order column as the session has shuffle partitions and written with its ranges' numbers, so that they
+    can't change under a retry. The ranges' counts, one number each, come to the driver and go back as offsets.
     """
-    share = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(order, share, 10 * ranges)).first()[0] or []
-    bounds = sorted({int(x) for x in found})
-    ranged = df.withColumn("__range", range_of(F.col(order), bounds)).withColumn("__counted", counted.cast("bigint"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.withColumn("__counted", counted.cast("bigint")).repartitionByRange(n, order).withColumn("__range", F.spark_partition_id()), name)
     totals = dict(ranged.groupBy("__range").agg(F.sum("__counted")).collect())
     offsets, total = [], start
-    for k in range(len(bounds) + 1):
-        offsets.append(total)
-        total += totals.get(k) or 0
+    for k in sorted(totals):
+        offsets.append((k, total))
+        total += totals[k] or 0
     w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offset = F.get(F.array(*map(F.lit, offsets)), F.col("__range"))
-    return ranged.withColumn(into, (offset + F.sum("__counted").over(w)).cast("bigint")).drop("__range", "__counted"), total
+    table = F.broadcast(spark.createDataFrame(offsets, "__k int, __offset bigint"))  # a row for each range
+    out = ranged.join(table, F.col("__range") == F.col("__k")).withColumn(into, (F.col("__offset") + F.sum("__counted").over(w)).cast("bigint"))
+    return out.drop("__range", "__counted", "__k", "__offset"), total
 
 
 def inserted(base: DataFrame | None, graveyard: DataFrame | None, ops: DataFrame, columns: list[str], revision: int, name: str = "ops") -> tuple[DataFrame, DataFrame | None, int]:
     """merged for inserts alone: each has an effect, so neither the rows that are there nor a key's earlier operations are looked up."""
-    staged = written(ops.drop("_op"), name)
-    counted, top = numbered(staged, "_seq", F.lit(True), REV, revision)
+    counted, top = numbered(ops.drop("_op"), "_seq", F.lit(True), REV, revision, name)
     row = F.struct(*columns, PK, REV)
     # the last writer of a key, by a partial aggregation, so that a hot key isn't gathered
     final = counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, REV).alias("__row")).select("__row.*")
@@ -95,8 +80,7 @@ def merged(base: DataFrame, graveyard: DataFrame, ops: DataFrame, columns: list[
     if tracked:
         prior = F.last(F.when(F.col("_op") == "insert", F.struct(*columns)), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
         marked = marked.withColumn("__prior", prior)
-    marked = written(marked.filter("__effective").drop("__effective", "__there"), name)
-    counted, top = numbered(marked, "_seq", F.lit(True), REV, revision)
+    counted, top = numbered(marked.filter("__effective").drop("__effective", "__there"), "_seq", F.lit(True), REV, revision, name)
     row = F.struct(*counted.columns)
     final = written(counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, "_seq").alias("__row")).select("__row.*"), name)
     alive, gone = final.filter("_op = 'insert'"), final.filter("_op = 'delete'")

@@ -357,7 +357,7 @@ class WriteTxn(Reader):
         cols = table.spec.columns
         staged = rows.select(*cols, F.col(f"`{order_by}`").cast("bigint").alias("__order")).withColumn(PK, table.spec.primary.key())
         # every row is one revision: a key's row has that of its last
-        counted, top = commit.numbered(commit.written(staged, table.name), "__order", F.lit(True), REV, v.revision)
+        counted, top = commit.numbered(staged, "__order", F.lit(True), REV, v.revision, table.name)
         live = table.live(v)
         done = commit.written(commit.modified(live, counted, REV, cols, folds), table.name)
         out = commit.written(live.join(done.select(PK), PK, "left_anti").select(*cols, PK, REV).unionByName(done.select(*cols, PK, REV)), table.name, PK)
