@@ -34,22 +34,26 @@ def running_count(df: DataFrame, order: str, counted: Column, into: str, start:
     return numbered(df, order, counted, into, start)[0]
 
 
+def dealt(df: DataFrame, order: str, name: str = "ranges") -> DataFrame:
+    """df in as many ranges of the order column as the session has shuffle partitions, written with `__range`, so that ranges can't change under a retry."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, order).withColumn("__range", F.spark_partition_id()), name)
+
+
 def numbered(df: DataFrame, order: str, counted: Column, into: str, start: int = 0, name: str = "ranges") -> tuple[DataFrame, int]:
-    """running_count, and the count after the last row.
+    """running_count, and the count after the last row."""
+    return counted_up(dealt(df.withColumn("__counted", counted.cast("bigint")), order, name), order, into, start)
 
-    df is dealt into as many ranges of the order column as the session has shuffle partitions and written with its ranges' numbers, so that they
-    can't change under a retry. The ranges' counts, one number each, come to the driver and go back as offsets.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.withColumn("__counted", counted.cast("bigint")).repartitionByRange(n, order).withColumn("__range", F.spark_partition_id()), name)
+
+def counted_up(ranged: DataFrame, order: str, into: str, start: int) -> tuple[DataFrame, int]:
+    """The running sum of `__counted` over dealt ranges, whose own sums, one number each, come to the driver and go back as offsets."""
     totals = dict(ranged.groupBy("__range").agg(F.sum("__counted")).collect())
     offsets, total = [], start
     for k in sorted(totals):
         offsets.append((k, total))
         total += totals[k] or 0
     w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = F.broadcast(spark.createDataFrame(offsets, "__k int, __offset bigint"))  # a row for each range
+    table = F.broadcast(ranged.sparkSession.createDataFrame(offsets, "__k int, __offset bigint"))  # a row for each range
     out = ranged.join(table, F.col("__range") == F.col("__k")).withColumn(into, (F.col("__offset") + F.sum("__counted").over(w)).cast("bigint"))
     return out.drop("__range", "__counted", "__k", "__offset"), total
 
@@ -70,24 +74,32 @@ def inserted(base: DataFrame | None, graveyard: DataFrame | None, ops: DataFrame
 def merged(base: DataFrame, graveyard: DataFrame, ops: DataFrame, columns: list[str], revision: int, tracked: bool, name: str = "ops") -> tuple[DataFrame, DataFrame, int]:
     """The live rows, graveyard and revision after ops: insert replaces, delete of what isn't there has no effect and no revision.
 
-    A key's operations are ordered in one task, which holds them only in a sorted, spilling window.
+    Whether a deletion has an effect depends on the key's operation before it. That is looked up within ranges of the order, and across them from one row
+    for each key and range, so that a key with a large share of all operations is spread over the ranges.
     """
-    by_key = Window.partitionBy(PK).orderBy("_seq")
-    there = base.select(F.col(PK).alias("__pk"), F.lit(True).alias("__there"))
-    known = ops.join(there, F.col(PK) == F.col("__pk"), "left").drop("__pk")
-    before = F.coalesce(F.lag("_op").over(by_key) == "insert", F.coalesce("__there", F.lit(False)))
-    marked = known.withColumn("__effective", (F.col("_op") == "insert") | before)
-    if tracked:
-        prior = F.last(F.when(F.col("_op") == "insert", F.struct(*columns)), ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
-        marked = marked.withColumn("__prior", prior)
-    counted, top = numbered(marked.filter("__effective").drop("__effective", "__there"), "_seq", F.lit(True), REV, revision, name)
-    row = F.struct(*counted.columns)
-    final = written(counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, "_seq").alias("__row")).select("__row.*"), name)
+    ranged = dealt(ops, "_seq", name)
+    inserts = F.col("_op") == "insert"
+    row = F.struct(*columns)
+    each = ranged.groupBy(F.col(PK).alias("__pk"), F.col("__range").alias("__r")).agg(F.max_by("_op", "_seq").alias("__op"), F.max_by(F.when(inserts, row), F.when(inserts, F.col("_seq"))).alias("__row"))
+    there = base.select(PK, F.lit(True).alias("__base"))
+    across = Window.partitionBy("__pk").orderBy("__r")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    each = each.join(there, F.col("__pk") == F.col(PK), "left").drop(PK)
+    each = each.select("__pk", "__r", F.coalesce(F.lag("__op").over(across) == "insert", F.col("__base"), F.lit(False)).alias("__there"), F.last("__row", ignorenulls=True).over(earlier).alias("__far"))
+    within = Window.partitionBy(PK, "__range").orderBy("_seq")
+    near = F.last(F.when(inserts, row), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    known = ranged.withColumn("__lag", F.lag("_op").over(within)).withColumn("__near", near if tracked else F.lit(None).cast("string"))
+    known = known.join(each, (F.col(PK) == F.col("__pk")) & (F.col("__range") == F.col("__r"))).drop("__pk", "__r")
+    effective = inserts | F.coalesce(F.col("__lag") == "insert", F.col("__there"))
+    prior = F.coalesce("__near", "__far") if tracked else F.lit(None).cast("string")
+    marked = written(known.filter(effective).withColumn("__prior", prior).withColumn("__counted", F.lit(1).cast("bigint")).drop("__lag", "__near", "__far", "__there"), name)
+    counted, top = counted_up(marked, "_seq", REV, revision)
+    final = written(counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(F.struct(*counted.columns), "_seq").alias("__row")).select("__row.*"), name)
     alive, gone = final.filter("_op = 'insert'"), final.filter("_op = 'delete'")
     live = base.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(alive.select(*columns, PK, REV))
     grave = graveyard.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV)
     if tracked:
-        old = base.select(F.col(PK).alias("__pk"), F.struct(*columns).alias("__old"))
+        old = base.select(F.col(PK).alias("__pk"), row.alias("__old"))
         dead = gone.join(old, F.col(PK) == F.col("__pk"), "left").select(F.coalesce("__prior", "__old").alias("o"), PK, REV).select("o.*", PK, REV)
         grave = grave.unionByName(dead)
     return live, grave, top
