@@ -102,6 +102,8 @@ def test_html_cases(spark):
     <p>{long}</p><p>two<br>lines <b>bold</p><ul><li>one<li>two</ul><form>f</form><div class=ad>buy</div></div>
     <div class="comments"><p>{'bad comment ' * 90}</p></div><div role=complementary><p>side</p></div><footer>f</footer>"""
     assert html.main_text(page).split("\n") == ["Title & x", long.strip(), "two lines bold", "one", "two"]
+    marked = f'<div class="main with-sidebar"><div class="article-header"><h1>T</h1></div><p>{long}</p><p>{long}</p><p class="notice">n</p><div id="cookie-bar">c</div></div><div class="site-header">s</div>'
+    assert html.main_text(marked).split("\n") == ["T", long.strip(), long.strip()]
     assert html.main_text("plain text < b & c") == "plain text < b & c" and html.main_text("<p>a<p>b") == "a\nb"
     assert html.main_text("<script>var t='</p>'") == "" and html.main_text('<p title="a>b">x</p>') == "x"
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "<p>x</p>" * 5000)], "page_id long, html string")

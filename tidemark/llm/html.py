@@ -44,6 +44,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond cookie cookies consent gdpr notice banner popup modal newsletter subscribe share sharing social related recommended pagination pager toolbar masthead skip".split()
 )
+#: First words of names that say what is beside an element, and of those that are part of an article.
+OTHERS, PARTS = frozenset("no with without has show hide".split()), frozenset("article post entry content story section".split())
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 #: Elements that an end tag from within doesn't reach across.
@@ -107,18 +109,25 @@ class Page:
         inside = any(self.tag[x] in ("article", "main") for x in stack)
         if name == "header" and not inside:
             return True
-        if not attributes or name in ("html", "body", "article", "main", "a", "span", "p", "b", "i", "em", "strong"):
+        if not attributes or name in ("html", "body", "article", "main") or name not in BLOCK:
             return False
         for m in MARKED.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "role" and value in ROLES:
                 return True
-            if key in ("class", "id"):
-                found = set(re.split("[^a-z]+", value))
-                if found & WORDS or ("header" in found and not inside and name not in HEADINGS):
-                    return True
+            if key in ("class", "id") and any(self.named_apart(x, inside or name in HEADINGS) for x in value.split()):
+                return True
         return False
 
+    @staticmethod
+    def named_apart(name: str, inside: bool) -> bool:
+        """By the first or last word of a class or id: sidebar-left and site-footer, but neither with-sidebar nor article-header."""
+        words = [x for x in re.split("[^a-z]+", name) if x]
+        if not words or words[0] in OTHERS:
+            return False
+        ends = {words[0], words[-1]}
+        return bool(ends & WORDS) or ("header" in ends and not inside and words[0] not in PARTS)
+
     def text(self) -> str:
         n = len(self.tag)
         own = [(k, unescape(t) if "&" in t else t) for k, t in self.texts]
