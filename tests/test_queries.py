@@ -5,6 +5,7 @@ import pytest
 
 from tidemark import queries
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
@@ -22,5 +23,6 @@ def test_query(spark, sf_dir, duck, name):
     cols = sorted(df.columns)
     want = duck.sql(queries.ORACLE_SQL[name])
     assert cols == sorted(want.columns)
+    assert {c: TYPES[t] for c, t in df.dtypes} == {c: str(t) for c, t in zip(want.columns, want.types, strict=True)}
     mine = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
     assert mine == sorted((tuple(r) for r in duck.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()), key=str)
