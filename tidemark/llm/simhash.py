@@ -199,7 +199,8 @@ def classes(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     own = cut(printed.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("first")))
     comp = components(links(own))
     rooted = own.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root")
+    # cut, so that the join reads two plain exchanges and Spark can split a root that many fingerprints share
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"))
     return rooted.join(least, F.col("root") == F.col("__root")).select("fp", "component_id")
 
 
