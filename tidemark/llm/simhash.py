@@ -194,14 +194,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """printed, with (id, __fp), to one row per fingerprint: (fp, component_id), the smallest id reachable."""
+def rooted(printed: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """printed, with (id, __fp), to one row per fingerprint (fp, root) and one per component (__root, component_id), the smallest id reachable."""
     own = cut(printed.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("first")))
     comp = components(links(own))
-    rooted = own.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = own.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # cut, so that the join reads two plain exchanges and Spark can split a root that many fingerprints share
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"))
-    return rooted.join(least, F.col("root") == F.col("__root")).select("fp", "component_id")
+    return roots.select("fp", "root"), cut(roots.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root"))
+
+
+def representatives(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The component ids alone, one row per component."""
+    return rooted(printed, id_col)[1].select("component_id")
+
+
+def classes(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """printed, with (id, __fp), to one row per fingerprint: (fp, component_id), the smallest id reachable."""
+    roots, least = rooted(printed, id_col)
+    return roots.join(least, F.col("root") == F.col("__root")).select("fp", "component_id")
 
 
 def with_components(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
