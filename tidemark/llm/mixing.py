@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, small
 
-#: Buckets of a pattern's documents, as bits of the hash.
-BITS = 10
+#: Buckets of a pattern's documents, as bits of the hash: at least so many, and so many that a bucket has about PER_BUCKET rows at most.
+BITS, PER_BUCKET = 10, 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -99,14 +99,21 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, float], epochs: i
             left[i ^ 1] += room
 
 
+def bucket_bits(rows: int) -> int:
+    """Bits for so many rows, should one pattern have them all. The result of a mix doesn't depend on them: buckets only cut the order by hash."""
+    return max(BITS, (rows // PER_BUCKET).bit_length())
+
+
 def mix(docs: DataFrame, size: Column, member: Column, seed: int = 42, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, key: str = "doc_id") -> DataFrame:
     """docs with __size, __sources (its pattern: total words and target of each source) and __copies (source, epoch), one entry for each time it is taken.
 
-    member is an array of the document's sources. docs is read twice.
+    member is an array of the document's sources, null if it has none. docs is read twice, and counted.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     mark = F.xxhash64(F.col(f"`{key}`"), F.lit(seed))
-    sized = docs.select(*own, size.cast("long").alias("__size"), member.alias("__pattern"), mark.alias("__mark"), F.shiftrightunsigned(mark, 64 - BITS).cast("int").alias("__bucket"))
+    bits = bucket_bits(docs.count())
+    pattern = F.coalesce(member, F.array().cast("array<string>")).alias("__pattern")
+    sized = docs.select(*own, size.cast("long").alias("__size"), pattern, mark.alias("__mark"), F.shiftrightunsigned(mark, 64 - bits).cast("int").alias("__bucket"))
     sums = cut(sized.groupBy("__pattern", "__bucket").agg(F.sum("__size").alias("sum")))
     # one row a pattern comes to the driver
     patterns = {tuple(r[0]): int(r[1] or 0) for r in sums.groupBy("__pattern").agg(F.sum("sum")).collect()}
@@ -124,15 +131,16 @@ def mix(docs: DataFrame, size: Column, member: Column, seed: int = 42, weights:
     spark = docs.sparkSession
     schema = "__p array<string>, __total long, __cuts array<struct<source: string, end: long>>, __sources array<struct<source: string, size: long, target: double>>"
     plan = spark.createDataFrame(rows, schema)
-    # a bucket's start on its pattern's line; a pattern has 2**BITS buckets at most
+    # a bucket's start on its pattern's line
     starts = spark.createDataFrame([], "__p array<string>, __b int, __start long") if not rows else before(sums)
-    placed = sized.join(starts, same("__pattern", "__p") & (F.col("__bucket") == F.col("__b")), "inner").drop("__p", "__b")
     from pyspark.sql import Window
 
+    # sums within the bucket first: the join then finds rows dealt and sorted by its keys, and texts move once
     w = Window.partitionBy("__pattern", "__bucket").orderBy("__mark", F.col(f"`{key}`"), "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.col("__start") + F.sum("__size").over(w) - F.col("__size") / 2
-    placed = placed.withColumn("__middle", middle).drop("__start")
-    joined = placed.join(small(plan), same("__pattern", "__p"))
+    summed = sized.withColumn("__middle", F.sum("__size").over(w) - F.col("__size") / 2)
+    placed = summed.join(starts, (F.col("__pattern") == F.col("__p")) & (F.col("__bucket") == F.col("__b"))).drop("__p", "__b")
+    placed = placed.withColumn("__middle", F.col("__start") + F.col("__middle")).drop("__start")
+    joined = placed.join(small(plan), F.col("__pattern") == F.col("__p"))
 
     def copy(e: Column) -> Column:
         at = F.col("__middle") + e * F.col("__total")
@@ -149,7 +157,3 @@ def before(sums: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(F.col("__pattern").alias("__p"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("sum").over(w), F.lit(0)).alias("__start"))
-
-
-def same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
