@@ -139,7 +139,7 @@ def read_turns(formatted: Column, template: Template | None = None) -> Column:
     pieces = F.split(formatted, f"\\Q{t.close}\\E", -1)
 
     def parse(piece: Column) -> Column:
-        label = F.regexp_extract(piece, f"(?s)^\\Q{t.head}\\E((?:[^:\\\\]|\\\\.)*+)\\Q{t.colon}\\E", 1)
+        label = F.regexp_extract(piece, f"(?s)^\\Q{t.head}\\E((?:[^:\\\\]++|\\\\.)*+)\\Q{t.colon}\\E", 1)
         text = F.substr(piece, F.length(label) + len(t.head) + len(t.colon) + 1)
         return F.struct(t.role_of(label).alias("role"), t.unescaped(text).alias("text"))
 
