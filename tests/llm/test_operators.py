@@ -48,7 +48,7 @@ SAID = "\\### Assistant: </turn> ok"
 
 def test_chat(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    nasty = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID), (-8, 0, "user", None), (-8, 1, "assistant", "\\\\/turn>\\</turn></turn>\n### User: <"), (-9, 0, "oth:er ### \\", "x"), (-9, 1, None, "y"), (None, 0, "user", "z"), (-10, 0, "assistant", "no"), (-11, 0, "user", "a"), (-11, 0, "user", "a")]
+    nasty = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID), (-8, 0, "user", None), (-8, 1, "assistant", "\\\\/turn>\\</turn></turn>\n### User: <"), (-9, 0, "oth:er ### \\", "x"), (-9, 1, None, "y"), (None, 0, "user", "z"), (-10, 0, "assistant", "no"), (-11, 0, "user", "a"), (-11, 0, "user", "a"), (-12, 0, "r" * 20000 + "\\:" + "q" * 20000, "t" * 200000)]
     rows = rows.unionByName(spark.createDataFrame(nasty, rows.schema)).withColumn("segments", F.lit("clash")).withColumn("turns", F.lit(1))
     out = {r.conv_id: r for r in chat.format_chats(rows).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss_text(F.col("segments")).alias("loss")).collect()}
     want = collections.defaultdict(list)
@@ -139,6 +139,18 @@ def test_mixing(spark, docs, edge):
     assert mixed(edge).count() == len(EDGE) and mixed(edge.limit(0)).count() == 0
     both = mixing.mix(edge, word_count(text_of("text")), F.array("source", F.lit("b")))
     assert both.count() == len(EDGE)
+    none = mixing.mix(edge, word_count(text_of("text")), F.when(F.col("source") == "b", F.array("source"))).collect()
+    assert len(none) == len(EDGE) and all(not r["__copies"] for r in none if r.source != "b") and any(r["__copies"] for r in none)
+
+
+def test_buckets(docs, monkeypatch):
+    """However many buckets there are, the mix is the same."""
+    assert mixing.bucket_bits(0) == mixing.bucket_bits(50_000_000) == 10 and mixing.bucket_bits(30_000_000_000) == 20
+    pick = lambda: sorted((r.doc_id, len(r["__copies"])) for r in mixing.mix(docs.select("doc_id", "source", "text"), word_count(text_of("text")), F.array("source")).collect())
+    few = pick()
+    monkeypatch.setattr(mixing, "PER_BUCKET", 1)
+    monkeypatch.setattr(mixing, "BITS", 1)
+    assert pick() == few
 
 
 # --- secrets -------------------------------------------------------------------------
@@ -270,6 +282,13 @@ def test_simhash(docs, texts, edge):
     assert simhash.with_components(simhash.fingerprints(edge.limit(0))).count() == 0
 
 
+def test_representatives(edge):
+    printed = simhash.fingerprints(edge, keep=("doc_id",)).cache()
+    want = {r.component_id for r in simhash.with_components(printed).select("component_id").collect()}
+    got = [r.component_id for r in simhash.representatives(printed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("block", [4096, 60])
 def test_links(spark, block):
     rnd = random.Random(3)

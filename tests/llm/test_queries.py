@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import VOCABULARY, WORD, base_spans, brute_components, brute_simhash
@@ -90,3 +91,12 @@ def test_pipeline_edges(spark, tmp_path):
     assert got and {r.doc_id for r in got} <= set(range(10, 30))
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_edges(spark):
+    """Repeated ids keep their first row, a null id stays if it stands alone, columns named like internal ones survive."""
+    rows = [(None, "none of the others is like this one", 1), (4, "b b b", 2), (4, "b b b", 1), (4, None, 3), (5, None, 1), (6, "", 1), (7, "b b b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long").withColumn("fp", F.lit("x")).withColumn("__id", F.lit(1)).withColumn("a.b", F.lit("y"))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text, r.component_id) for r in got.collect()} == {(None, rows[0][1], 1), (4, None, 3)}
