@@ -340,6 +340,22 @@ def test_quality(docs, texts, edge):
     assert quality.judged(quality.measure(edge.limit(0)).cache(), rules).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.26, 0.33, 0.5, 0.7])
+def test_quality_junk(spark, share):
+    """A source doesn't pass its junk by holding much of it; alone or among others."""
+    rnd = random.Random(6)
+    text = lambda symbols: " ".join(f"w{rnd.randrange(10**9)}" + "#" * (i < 80 * symbols) for i in range(80))
+    junk = [(True, text(1.0) + "#" * rnd.randrange(400), "en", "hot") for _ in range(int(300 * share))]
+    hot = junk + [(False, text(0), "en", "hot") for _ in range(300 - len(junk))]
+    # a source that has symbols throughout has its own threshold
+    rest = [(False, text(0), "en", s) for s in "abc" for _ in range(110)] + [(False, text(x), "en", "math") for x in (0.09, 0.11, 0.12, 0.13) for _ in range(30)]
+    for rows in (hot, hot + rest):
+        df = spark.createDataFrame(rows, "junk boolean, text string, lang string, source string")
+        out = quality.judged(quality.measure(df).cache(), quality.Rules()).collect()
+        assert not any(r["__base_failed"] for r in out)
+        assert all(r["__kept"] != r.junk for r in out)
+
+
 def test_words(spark):
     df = spark.createDataFrame([("",), (" \x0b\x0c ",), ("a",), ("\ta \r\n b\x0bc ",), ("x y z",)], "text string")
     got = [(r.w, r.n) for r in df.select(words(F.col("text")).alias("w"), word_count(F.col("text")).alias("n")).collect()]

@@ -5,7 +5,10 @@ from a mergeable quantile sketch: every measure falls into a bin of a fixed rela
 counting rows per (lang, source, measure, bin) is the sketch. Bins add up, so partial counts combine before the
 shuffle, a hot source costs no more than its bins, and the result doesn't depend on the order of rows. A group's threshold is
 its upper quartile plus `spread` times its distance from the median, at least the floor, so that it is wide where a
-source varies and doesn't eat into a clean source. Groups under `least` rows take the thresholds
+source varies and doesn't eat into a clean source. Two bounds keep it from following junk. It is at most the median plus
+`spread` times its distance from the lower quartile, which up to half of junk doesn't move; and it is at most `excess` times
+the median of the groups' thresholds (one vote a group, the floor if under three vote or if that is more), which a source that is
+mostly junk doesn't move either. Groups under `least` rows take the thresholds
 of their language, and languages under it those of all rows. The thresholds, one row a group, are joined back
 (broadcast only if counted to be few).
 
@@ -31,6 +34,8 @@ class Rules:
     max_repeat_percent: int = 50
     width: float = 0.02
     spread: float = 8.0
+    #: How far a group's threshold may exceed what is usual among the groups.
+    excess: float = 1.5
     least: int = 100
     #: Measure to the floor of its upper threshold.
     floors: tuple[tuple[str, float], ...] = (("word_length", 12.0), ("symbols", 0.1), ("dup_lines", 0.5), ("repeats", 0.4))
@@ -115,23 +120,30 @@ def thresholds(sketched: DataFrame, rules: Rules) -> DataFrame:
         at = F.aggregate("bins", first, step)["bin"]
         return F.when(at == 0, 0.0).otherwise(F.pow(F.lit(1.0 + rules.width), at - 1) / 1000000.0)
 
-    floor = F.lit(None).cast("double")
-    for name, least in rules.floors:
-        floor = F.when(F.col("measure") == name, F.lit(least)).otherwise(floor)
-    limit = F.greatest(floor, quantile(0.75) + rules.spread * (quantile(0.75) - quantile(0.5)))
+    def floor_of(measure: str) -> Column:
+        floor = F.lit(None).cast("double")
+        for name, least in rules.floors:
+            floor = F.when(F.col(measure) == name, F.lit(least)).otherwise(floor)
+        return floor
+
+    floor = floor_of("measure")
+    limit = F.greatest(floor, F.least(quantile(0.75) + rules.spread * (quantile(0.75) - quantile(0.5)), quantile(0.5) + rules.spread * (quantile(0.5) - quantile(0.25))))
 
     def level(name: str, *keys: str) -> DataFrame:
         return merged(*keys).filter(F.col("rows") >= (rules.least if keys else 0)).select(*keys, "measure", limit.alias(name))
 
     groups = sketched.select("lang", "source", "measure").distinct()
     own, lang, every = level("own", "lang", "source").alias("o"), level("of_lang", "lang").alias("l"), level("of_all").alias("a")
+    # a floor is the least of thresholds, so it stands for them where too few vote
+    usual = own.groupBy("measure").agg(F.when(F.count(F.lit(1)) >= 3, F.percentile_approx("own", 0.5, 10000)).alias("usual")).alias("u")
     g = groups.alias("g")
     same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     found = (
         g.join(own, same("g", "o", "lang", "source", "measure"), "left")
         .join(lang, same("g", "l", "lang", "measure"), "left")
         .join(every, same("g", "a", "measure"), "left")
-        .select("g.lang", "g.source", "g.measure", F.coalesce("own", "of_lang", "of_all").alias("limit"))
+        .join(usual, same("g", "u", "measure"), "left")
+        .select("g.lang", "g.source", "g.measure", F.least(F.coalesce("own", "of_lang", "of_all"), rules.excess * F.coalesce("usual", floor_of("g.measure"))).alias("limit"))
     )
     return found.groupBy("lang", "source").pivot("measure", [n for n, _ in rules.floors]).agg(F.first("limit"))
 
