@@ -236,6 +236,14 @@ def test_edited(spark, docs, edge):
     assert winnow.fingerprints(edge.drop("fingerprint")).count() == len(EDGE)
 
 
+def test_edited_short(spark, docs):
+    """Texts of 16 characters or more share a fingerprint with what half of them is left in."""
+    rnd = random.Random(3)
+    short = [(-k, "".join(rnd.choice("abcdefgh ") for _ in range(k))) for k in range(1, 260)]
+    got = winnow.edited(docs.select("doc_id", "text").unionByName(spark.createDataFrame(short, "doc_id long, text string"))).collect()
+    assert all(r.near_edited > 0 for r in got if r.n_chars >= 16) and sum(16 <= r.n_chars < 191 for r in got) > 170
+
+
 # --- simhash -----------------------------------------------------------------------------
 
 

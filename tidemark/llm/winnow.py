@@ -5,6 +5,11 @@ rightmost where several are least. Chosen hashes are kept with their positions,
 characters that two texts share gives them a common fingerprint, and none shorter than k does. A text shorter than k is one gram, one with fewer than w
 grams is one window.
 
+The gram is the same for all texts, and the window shrinks with the text's length n, to n // 2 - k + 1 at most and 1 at least. As what a
+window chooses is also chosen by smaller windows inside it, texts of different windows compare, and the guarantee for two texts is that
+of the larger window: k + w - 1 characters, which is half of the longer text and 71 at most. So two texts of 16 characters or
+more that share half of the longer one have a common fingerprint.
+
 A text's neighbour in ascending order of id is found without a window over all rows: ids are cut into ranges at
 quantiles, each range's first document also goes to the range before it, and each range is read in
 order. So every text is moved once, in a shuffle on ranges, and no task holds more than its ranges' stream.
@@ -26,16 +31,22 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
 
-#: Characters in a gram, grams in a window.
-K, W = 32, 64
+#: Characters in a gram, grams in the window of a long text.
+K, W = 8, 64
 #: The hash's multiplier (odd), and the final mix of its bits.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
 
 
-def winnow(text: str, k: int = K, w: int = W):
-    """(hashes, positions) of a text's fingerprint, in order, as numpy arrays."""
+def window(n: int, k: int = K) -> int:
+    """Grams in the window of a text of n characters."""
+    return max(1, min(W, n // 2 - k + 1))
+
+
+def winnow(text: str, k: int = K, w: int | None = None):
+    """(hashes, positions) of a text's fingerprint, in order, as numpy arrays; w is that of the text's length where none is given."""
     import numpy as np
 
+    w = window(len(text), k) if w is None else w
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(c):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -95,7 +106,7 @@ def told(hashes, positions) -> str:
     return ",".join([f"{h:016x}@{p}" for h, p in zip(hashes.tolist(), positions.tolist(), strict=True)])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint", k: int = K, w: int = W) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint", k: int = K, w: int | None = None) -> DataFrame:
     """docs with the fingerprint of each text as an array of (hash, position); map-only."""
     import pyarrow as pa
 
@@ -123,7 +134,7 @@ def bounds(docs: DataFrame, ranges: int, key: str = "doc_id") -> list[int]:
     return sorted({row[0], *(row[1] or [])} - {None})
 
 
-def edited(docs: DataFrame, k: int = K, w: int = W, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+def edited(docs: DataFrame, k: int = K, w: int | None = None, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint beside that of its edited text: its last half replaced by the beginning of the next document's.
 
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
