@@ -84,6 +84,20 @@ def test_licenses(spark, edge):
     assert licenses.scan(edge.drop("license")).count() == len(EDGE) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_full(spark):
+    """Whole texts of the common licences, with or without their appendix, and of MIT under its common title."""
+    import glob
+    import os
+
+    names = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "GPL-1": "GPL-1.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    files = [f for f in glob.glob("/usr/share/common-licenses/*") if not os.path.islink(f)]
+    rows = [(names.get(os.path.basename(f), os.path.basename(f)), open(f, encoding="utf-8").read()) for f in files]
+    rows += [(n, t[: t.index("END OF TERMS AND CONDITIONS")]) for n, t in rows if "END OF TERMS AND CONDITIONS" in t]
+    rows += [("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n{licenses.KNOWN[1][1]}")]
+    got = licenses.scan(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert len(got) == len(rows) and [r.want for r in got if r.license != r.want] == []
+
+
 # --- html -----------------------------------------------------------------------------
 
 

@@ -107,6 +107,47 @@ KNOWN = (
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
 )
+#: Licences by the digests of their canonical full texts; those with an appendix after their terms also without it.
+FULL = (
+    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("Apache-2.0", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"),
+    ("Apache-2.0", "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da"),
+    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0", "490a17f9c44b8e7737e6d5b52eebf4c3610f67ee98c4ad515329fa012eebe42d"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-2.0", "b45f95d8277a4c920f37dd2e6bd0bfe7a28fc0622b3328e8a50b73e64eb55b33"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-2.0", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-3.0", "fa71ec4a6c569a525cb1978408e8bf3be98bac8c347730082699237b42aa30ba"),
+    ("GPL-3.0", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("GPL-3.0", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.0", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.0", "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-2.1", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-2.1", "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "e589f4b022b6b84ad31536a60e2ea27b9ca3e95809a7bfeb95b093dd33472c3a"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+#: Texts of KNOWN without a title, and the further titles that they are common under.
+TITLED = tuple(
+    (name, f"{title}\n\n{KNOWN[at][1]}")
+    for name, at, titles in (
+        ("MIT", 1, ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)")),
+        ("ISC", 4, ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)")),
+        ("0BSD", 5, ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License")),
+        ("BSD-2-Clause", 6, ("The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License")),
+        ("BSD-3-Clause", 8, ("The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License")),
+    )
+    for title in titles
+)
 
 
 def _steps() -> list[tuple[str, str]]:
@@ -141,8 +182,10 @@ def digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
     return out
 
 
-def known_table(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    return spark.createDataFrame(list(digests(known).items()), "digest string, license string")
+def known_table(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, license) of the texts given, or of all that this module knows."""
+    found = digests(known) if known is not None else {d: n for n, d in FULL} | digests(KNOWN + TITLED)
+    return spark.createDataFrame(list(found.items()), "digest string, license string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
