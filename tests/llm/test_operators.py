@@ -207,6 +207,19 @@ def test_secrets(spark, docs, edge):
     assert secrets.scan(edge).count() == len(EDGE) and secrets.scan(edge.limit(0)).count() == 0
 
 
+def test_secrets_alphabets(spark):
+    """A random key of each alphabet is found, words with digits are not."""
+    import string
+
+    rnd = random.Random(11)
+    kinds = {"base36": string.digits + string.ascii_lowercase, "BASE36": string.digits + string.ascii_uppercase, "base32": string.ascii_lowercase + "234567", "BASE32": string.ascii_uppercase + "234567", "base62": string.digits + string.ascii_letters}
+    keys = {f"{k} {n}": "".join(rnd.choice(a) for _ in range(n)) for k, a in kinds.items() for n in (24, 32, 40)}
+    plain = ["section2introductiontotheoperators", "version10ofthedocumentationoftheserver", "internationalizations", "zzzzzzzzzzzzzzzzzzzzzzzz2"]
+    rows = [(k, f"a {v} z") for k, v in keys.items()] + [(f"plain {k}", f"a {v} z") for k, v in enumerate(plain)]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r["__spans"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: [v] for k, v in keys.items()} | {f"plain {k}": [] for k in range(len(plain))}
+
+
 # --- winnowing -------------------------------------------------------------------------
 
 
