@@ -1,36 +1,48 @@
 """BPE encoding and decoding by a tokenization automaton.
 
 The automaton reads tokens. Its states are the tokens (the one read last), and it accepts
-exactly the sequences that the merges produce. It is compiled by one gadget per merge, in order of
-priority. The gadget of (a, b) -> c
-
-* removes the arc a -> b, since the two are merged wherever they meet;
-* adds a state c that copies the arcs out of b as they were before the removal;
-* gives c the arcs into a as they are after it (this order makes a run of equal symbols merge from the left).
-
-Later gadgets only remove arcs between older states, so whether an arc exists can be read off the two gadgets that made
-its ends: `arc` unrolls them and keeps the answers in a bounded table. A word is encoded by one pass over its
-symbols: at each position exactly one token is reachable, found by table lookups. Decoding emits
-the arcs' labels. Tokens of whole chunks are kept in a bounded cache, as most chunks recur.
-
-Free style: Arrow batches through mapInArrow, map-only, with no shuffle.
+exactly the sequences that the merges produce. It is compiled on the driver by one gadget per merge, in order of
+priority, into flat integer arrays. The gadget of (a, b) -> c
+
+* removes the arc a -> b, since the two are merged wherever they meet (`rank`, an open-addressed table of removed arcs);
+* adds a state c that copies the arcs out of b as they were before the removal (`right`, `made`);
+* gives c the arcs into a as they are after it (`left`; this order makes a run of equal symbols merge from the left).
+
+Later gadgets only remove arcs between older states, so `Automaton.arcs` reads an arc off the gadgets that made its ends, for whole
+arrays of arcs at a time; answers stay in a table of fixed size. The labels of the states are a double-array
+trie over bytes (`base`, `check`, `token`). Pre-split words are encoded together, one position at a time: the trie yields the
+labels that begin there, and those with an arc from the one state that the position has give the states of later positions. No
+position has two, so nothing is tried twice or taken back, and a word's tokens are read from its end. Decoding
+emits the arcs' labels.
+
+Normalisation and pre-splitting are those of the tokenizers library, as its Unicode tables are older than Python's. Free style:
+Arrow batches through mapInArrow, map-only, with no shuffle. A worker keeps recent chunks (stretches without white space) in a
+bounded cache; only those not in it are encoded.
+
+Defined results: a null or empty text has no tokens, and neither has one of white space alone; special tokens within a text are
+read as the library reads them; lone surrogates can't occur in Spark's strings; repeated rows stay; an empty table gives no rows;
+texts and words of any length are read whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
 
-#: Entries kept in a worker's chunk cache and arc table before they are emptied.
-CACHE, ARCS, LONG = 300_000, 2_000_000, 64
+#: Chunks in a worker's cache before the older half goes, chunk length beyond which none is kept, slots of the arc table (a power of two).
+CACHE, LONG, SLOTS = 250_000, 64, 1 << 20
+#: Words of up to this many bytes are encoded together, longer ones one at a time.
+TOGETHER = 96
+NEVER = 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -43,224 +55,390 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def category(major: str) -> str:
-    """A category's code points as ranges for a character class."""
-    own = [unicodedata.category(chr(c))[0] == major for c in range(0x110000)] + [False]
-    edges = [c for c in range(len(own)) if own[c] != (c > 0 and own[c - 1])]
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+def slots_of(keys: np.ndarray, size: int) -> np.ndarray:
+    """Slots of a table of `size` (a power of two) for keys of 64 bits."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def double_array(children: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base and check of a trie given as (symbol, child) lists, and the place of each node; node 0 is at place 0."""
+    room = 2 * sum(map(len, children)) + 4096
+    base, check, place = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.zeros(len(children), np.int64)
+    free = np.ones(room, bool)
+    free[:512] = False
+    low = 512
+    # parents before children, so that each node has its place before its own children get theirs
+    for node, own in enumerate(children):
+        if not own:
+            continue
+        symbols = np.array([s for s, _ in own])
+        while not free[low]:
+            low += 1
+        if len(own) == 1:
+            first = low - own[0][0]
+        at, width = low, 64
+        while len(own) > 1:
+            spots = at + np.flatnonzero(free[at : at + width])
+            fits = free[spots[:, None] + (symbols - symbols[0])[None, :]].all(axis=1)
+            if fits.any():
+                first = int(spots[np.argmax(fits)]) - int(symbols[0])
+                break
+            at, width = at + width, min(4096, 2 * width)
+        here = int(place[node])
+        base[here] = first
+        for s, child in own:
+            free[first + s] = False
+            check[first + s] = here
+            place[child] = first + s
+    return base, check, place
+
+
+def compiled(spec: dict) -> dict:
+    """The automaton's flat arrays from a vocabulary file of the tokenizers library (BPE with word ends)."""
+    model = spec["model"]
+    ids: dict[str, int] = model["vocab"]
+    end = model["end_of_word_suffix"]
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    n = max([*ids.values(), *special.values()]) + 1
+    labels = [""] * n
+    for text, i in [*ids.items(), *special.items()]:
+        labels[i] = text
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    # the trie, breadth first by length of label: symbols are bytes, plus 256 for the last of a word
+    words = []
+    for text, i in ids.items():
+        bare = text.removesuffix(end) if text.endswith(end) and text != end else text
+        symbols = [byte_of[c] for c in bare]
+        if len(bare) < len(text):
+            symbols[-1] += 256
+        words.append((symbols, i))
+    nodes: dict[tuple[int, int], int] = {}
+    children: list[list[tuple[int, int]]] = [[]]
+    ends: list[int] = [-1]
+    front = [(0, symbols, i) for symbols, i in words]
+    depth = 0
+    while front:
+        left = []
+        for node, symbols, i in front:
+            child = nodes.get(key := (node, symbols[depth]))
+            if child is None:
+                child = nodes[key] = len(children)
+                children.append([])
+                ends.append(-1)
+                children[node].append((symbols[depth], child))
+            if depth + 1 == len(symbols):
+                ends[child] = i
+            else:
+                left.append((child, symbols, i))
+        front, depth = left, depth + 1
+    base, check, place = double_array([sorted(x) for x in children])
+    token = np.full(len(base), -1, np.int32)
+    token[place] = ends
+    # the gadgets
+    made, left_of, right_of = np.full(n, -1, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    pairs = np.zeros(len(model["merges"]), np.int64)
+    for k, (a, b) in enumerate(model["merges"]):
+        ia, ib, ic = ids[a], ids[b], ids[a + b]
+        if made[ic] >= 0:
+            raise ValueError(f"two merges make {labels[ic]!r}")
+        if max(made[ia], made[ib]) >= k:
+            raise ValueError("a merge uses what a later one makes")
+        made[ic], left_of[ic], right_of[ic], pairs[k] = k, ia, ib, ia << 20 | ib
+    size = 1 << max(4, (4 * len(pairs)).bit_length())
+    keys, ranks = np.full(size, -1, np.int64), np.full(size, NEVER, np.int32)
+    for k, (pair, slot) in enumerate(zip(pairs.tolist(), slots_of(pairs, size).tolist(), strict=True)):
+        while keys[slot] >= 0:
+            slot = (slot + 1) & (size - 1)
+        keys[slot], ranks[slot] = pair, k
+    split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+    return {"base": base, "check": check, "token": token, "made": made, "left": left_of, "right": right_of, "keys": keys, "ranks": ranks, "labels": labels, "special": special, "split": split}
 
 
 class Automaton:
-    """The automaton of a vocabulary file of the tokenizers library (BPE with word ends)."""
-
-    def __init__(self, spec: dict) -> None:
-        model = spec["model"]
-        self.end = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        n = max([*self.ids.values(), *self.special.values()]) + 1
-        self.labels = [""] * n
-        for text, i in [*self.ids.items(), *self.special.items()]:
-            self.labels[i] = text
-        self.made, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
-        self.rank: dict[int, int] = {}
-        for k, (a, b) in enumerate(model["merges"]):
-            self._gadget(k, self.ids[a], self.ids[b], self.ids[a + b])
-        self.longest = max(len(x.removesuffix(self.end)) for x in self.ids)
-        self.arcs: dict[int, bool] = {}
-        self.bytes = byte_symbols()
-        parts = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
-        # \s without the four separators that Python counts as white space; letters and numbers as of Python's Unicode
-        self.split = regex.compile(parts[0].replace("\\s", "\\p{White_Space}").replace("\\p{L}", category("L")).replace("\\p{N}", category("N")))
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-
-    def _gadget(self, k: int, a: int, b: int, c: int) -> None:
-        if self.made[c] >= 0:
-            raise ValueError(f"two merges make {self.labels[c]!r}")
-        if max(self.made[a], self.made[b]) >= k:
-            raise ValueError("a merge uses what a later one makes")
-        self.rank[a << 20 | b] = k
-        self.made[c], self.left[c], self.right[c] = k, a, b
-
-    def arc(self, u: int, v: int) -> bool:
-        """Whether token v may follow token u."""
-        if (known := self.arcs.get(key := u << 20 | v)) is not None:
-            return known
-        made, rank, before, out = self.made, self.rank, 1 << 30, True
-        while True:
-            if rank.get(u << 20 | v, 1 << 31) < before:
-                out = False
-                break
-            ku, kv = made[u], made[v]
-            if ku < 0 and kv < 0:
-                break
-            if ku == kv:
-                u, v, before = self.right[u], self.left[v], ku
-            elif ku > kv:
-                u, before = self.right[u], ku
-            else:
-                v, before = self.left[v], kv + 1
-        if len(self.arcs) >= ARCS:
-            self.arcs.clear()
-        self.arcs[key] = out
+    """The compiled automaton with the answers it keeps."""
+
+    def __init__(self, tables: dict) -> None:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.base, self.check, self.token = tables["base"], tables["check"], tables["token"]
+        self.made, self.left, self.right, self.keys, self.ranks = (tables[k] for k in ("made", "left", "right", "keys", "ranks"))
+        self.labels, self.special = tables["labels"], tables["special"]
+        self.asked, self.answer = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.parts = pre_tokenizers.Split(Regex(tables["split"]), "removed", invert=True).pre_tokenize_str
+
+    def rank(self, pairs: np.ndarray) -> np.ndarray:
+        """The merges that remove these arcs, or NEVER."""
+        mask, out = len(self.keys) - 1, np.full(len(pairs), NEVER, np.int32)
+        slot, left = slots_of(pairs, len(self.keys)), np.arange(len(pairs))
+        while len(left):
+            seen = self.keys[slot]
+            hit = seen == pairs[left]
+            out[left[hit]] = self.ranks[slot[hit]]
+            more = ~hit & (seen >= 0)
+            left, slot = left[more], (slot[more] + 1) & mask
         return out
 
-    def encode_word(self, word: str) -> list[int]:
-        """The tokens of one pre-split word, given in byte symbols.
-
-        From each position the longest arcs are tried first. The path to a position is the only
-        one, so a position without a way on is dead for good and none is left twice.
-        """
-        ids, arcs, n, longest, end = self.ids.get, self.arcs.get, len(word), self.longest, self.end
-        whole = ids(word + end)
-        if whole is not None:
-            return [whole]
-        out: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, stop, u = 0, min(n - 1, longest), -1
-        while True:
-            found = -1
-            while stop > at:
-                if stop not in dead:
-                    v = ids(word[at:stop] if stop < n else word[at:] + end)
-                    if v is not None and (u < 0 or (known if (known := arcs(u << 20 | v)) is not None else self.arc(u, v))):
-                        found = v
-                        break
-                stop -= 1
-            if found >= 0:
-                out.append(found)
-                starts.append(at)
-                if stop == n:
-                    return out
-                at, u = stop, found
-                stop = min(n, at + longest)
-            else:
-                dead.add(at)
-                stop, at = at - 1, starts.pop()
-                out.pop()
-                u = out[-1] if out else -1
-
-    def presplit(self, chunk: str) -> list[str]:
-        """The words of text without special tokens, normalised, in byte symbols."""
-        if chunk.isascii() and chunk.isprintable():
-            text = chunk.lower()
-            if text.isalpha():
-                return [text]
-            if (bare := text.rstrip(".,;:!?")).isalpha():
-                return [bare, text[len(bare) :]]
-            return self.split.findall(text)
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        symbols = self.bytes
-        return ["".join([symbols[b] for b in m.encode("utf-8", "surrogatepass")]) for m in self.split.findall(text)]
-
-    def decode(self, ids: list[int]) -> str:
+    def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether there are arcs from the states u to the states v."""
+        keys = u.astype(np.int64) << 20 | v
+        slot = slots_of(keys, SLOTS)
+        out = self.answer[slot]
+        new = np.flatnonzero(self.asked[slot] != keys)
+        if len(new):
+            out[new] = found = self.unrolled(u[new], v[new])
+            self.asked[slot[new]], self.answer[slot[new]] = keys[new], found
+            # two new arcs may share a slot: the table then holds the last one's key, and must hold its answer
+            self.answer[slot[new]] = np.where(self.asked[slot[new]] == keys[new], found, self.answer[slot[new]])
+        return out
+
+    def unrolled(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Arcs by the gadgets that made their ends, the latest first."""
+        out, left = np.ones(len(u), bool), np.arange(len(u))
+        a, b, before = u.astype(np.int64), v.astype(np.int64), np.full(len(u), NEVER, np.int64)
+        while len(left):
+            gone = self.rank(a << 20 | b) < before
+            out[left[gone]] = False
+            ka, kb = self.made[a], self.made[b]
+            on = ~gone & ((ka >= 0) | (kb >= 0))
+            left, a, b, ka, kb = left[on], a[on], b[on], ka[on], kb[on]
+            before = np.where(ka >= kb, ka, kb + 1)
+            a, b = np.where(ka >= kb, self.right[a], a).astype(np.int64), np.where(ka <= kb, self.left[b], b).astype(np.int64)
+        return out
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of pre-split words (not empty), one after another, and how many each word has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        long = sizes[order]
+        starts = np.cumsum(sizes) - sizes
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
+        symbols[starts + sizes - 1] += 256
+        first = starts[order]  # of each word's symbols, by falling length
+        own = np.cumsum(long + 1) - (long + 1)  # of each word's positions
+        state, back = np.full(int((long + 1).sum()), -1, np.int32), np.zeros(int((long + 1).sum()), np.int32)
+        alive = np.searchsorted(-long, -np.arange(int(long[0])), side="left")
+        for i, k in enumerate(alive.tolist()):
+            act, node, d = np.arange(k), np.zeros(k, np.int64), 0
+            whos, tokens, depths = [], [], []
+            while len(act):
+                t = self.base[node] + symbols[first[act] + (i + d)]
+                on = self.check[t] == node
+                act, node, d = act[on], t[on].astype(np.int64), d + 1
+                got = self.token[node]
+                some = got >= 0
+                whos.append(act[some])
+                tokens.append(got[some])
+                depths.append(np.full(len(whos[-1]), d))
+                on = long[act] > i + d
+                act, node = act[on], node[on]
+            who, v, ahead = np.concatenate(whos), np.concatenate(tokens), np.concatenate(depths)
+            if i:
+                u = state[own[who] + i]
+                fine = u >= 0
+                fine[fine] = self.arcs(u[fine], v[fine])
+                who, v, ahead = who[fine], v[fine], ahead[fine]
+            at = own[who] + i + ahead
+            state[at], back[at] = v, i
+        # from each word's end to its start
+        here, act, whos, tokens = long.copy(), np.arange(len(words)), [], []
+        while len(act):
+            at = own[act] + here[act]
+            if (state[at] < 0).any():
+                raise ValueError("the vocabulary lacks a byte")
+            whos.append(order[act])
+            tokens.append(state[at])
+            here[act] = back[at]
+            act = act[here[act] > 0]
+        who, tokens = np.concatenate(whos[::-1]), np.concatenate(tokens[::-1])
+        return tokens[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(words))
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, as the library joins them where a file names no decoder."""
         return " ".join([self.labels[i] for i in ids])
 
 
 class Encoder:
-    """An automaton with the bounded caches of one worker: word and chunk to ids and decoded text, as strings."""
+    """An automaton with the bounded cache of one worker: chunk to ids and to decoded text, as strings."""
 
-    def __init__(self, automaton: Automaton) -> None:
-        self.automaton, self.words = automaton, {}
+    def __init__(self, automaton: Automaton, cache: int = CACHE) -> None:
+        self.automaton, self.cache = automaton, cache
         self.names = [str(i) for i in range(len(automaton.labels))]
-        outer = self
-
-        class Ids(dict):
-            def __missing__(self, chunk: str) -> str:
-                return outer.add(chunk)[0]
-
-        class Decoded(dict):
-            def __missing__(self, chunk: str) -> str:
-                return outer.add(chunk)[1]
-
-        self.ids, self.decoded = Ids(), Decoded()
-
-    def word(self, word: str) -> tuple[str, str]:
-        if (known := self.words.get(word)) is not None:
-            return known
-        got = self.automaton.encode_word(word)
-        out = " ".join([self.names[i] for i in got]), self.automaton.decode(got)
-        if len(word) <= LONG:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
 
-    def add(self, chunk: str) -> tuple[str, str]:
-        got = self.automaton.presplit(chunk)
-        if len(got) == 1:
-            out = self.word(got[0])
-        else:
-            pairs = [self.word(x) for x in got]
-            out = " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
-        if len(chunk) <= LONG:
-            if len(self.ids) >= CACHE:
-                self.ids.clear()
-                self.decoded.clear()
-            self.ids[chunk], self.decoded[chunk] = out
+    def presplit(self, chunks: list[str]) -> list[str | list[str]]:
+        """The words of each chunk, normalised; a chunk of one word as it is."""
+        a = self.automaton
+        out: list[str | list[str]] = []
+        rest, places = [], []
+        for k, chunk in enumerate(chunks):
+            if chunk.isascii():
+                text = chunk.lower()
+                if text.isalpha():
+                    out.append(text)
+                    continue
+                if (bare := text.rstrip(".,;:!?")).isalpha():
+                    out.append([bare, text[len(bare) :]])
+                    continue
+            else:
+                text = a.normal(chunk)
+            out.append([])
+            rest.append(text)
+            places.append(k)
+        if rest:
+            # in one call; the space between chunks is part of no word
+            ends = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)) + 1)
+            got = a.parts(" ".join(rest))
+            spots = np.searchsorted(ends, np.fromiter((x[1][0] for x in got), np.int64, len(got)), side="right")
+            for (word, _), spot in zip(got, spots.tolist(), strict=True):
+                out[places[spot]].append(word)
         return out
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Ids and decoded text of a whole text, each joined by one space."""
+    def add(self, chunks: list[str]) -> None:
+        """Encodes chunks into the cache."""
+        a, parts = self.automaton, self.presplit(chunks)
+        words = {p for p in parts if isinstance(p, str)}
+        words.update(*[p for p in parts if not isinstance(p, str)])
+        ids_of: dict[str, str] = {}
+        labels_of: dict[str, str] = {}
+        near, far = [], []
+        for w in words:
+            (near if len(w) <= TOGETHER // 4 else far).append(w)
+        for group in ([near] if near else []) + [[w] for w in far]:
+            tokens, counts = a.encode_words([w.encode("utf-8", "surrogatepass") for w in group])
+            flat = tokens.tolist()
+            ids, labels = [self.names[t] for t in flat], [a.labels[t] for t in flat]
+            at = 0
+            for w, n in zip(group, counts.tolist(), strict=True):
+                to = at + n
+                if n == 1:
+                    ids_of[w], labels_of[w] = ids[at], labels[at]
+                else:
+                    ids_of[w], labels_of[w] = " ".join(ids[at:to]), " ".join(labels[at:to])
+                at = to
+        for chunk, p in zip(chunks, parts, strict=True):
+            if isinstance(p, str):
+                self.ids[chunk], self.decoded[chunk] = ids_of[p], labels_of[p]
+            else:
+                self.ids[chunk], self.decoded[chunk] = " ".join([ids_of[w] for w in p]), " ".join([labels_of[w] for w in p])
+
+    def chunks(self, text: str) -> list[str]:
+        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # white space to Python alone
+            return [x for x in regex.split("\\p{White_Space}+", text) if x]
+        return text.split()
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Ids and decoded text of each text, each joined by one space."""
         a = self.automaton
-        if "<|" in text and len(parts := a.specials.split(text)) > 1:
-            done = [(str(a.special[x]), x) if k % 2 else self.encode(x) for k, x in enumerate(parts) if x]
-            done = [x for x in done if x[0]]
-            return " ".join(x[0] for x in done), " ".join(x[1] for x in done)
-        chunks = text.split()
-        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
-            chunks = [x for x in regex.split("\\p{White_Space}+", text) if x]
-        return " ".join(map(self.ids.__getitem__, chunks)), " ".join(map(self.decoded.__getitem__, chunks))
-
-
-def load_spec(path: str) -> dict:
-    """A tokenizers vocabulary file, read on the driver; its size is that of the vocabulary, not of the data."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        parts: list[list[list[str] | str]] = []  # a special token is a string, any other stretch a list of chunks
+        seen: set[str] = set()
+        for text in texts:
+            if "<" in text and a.specials and len(split := a.specials.split(text)) > 1:
+                parts.append([x if k % 2 else self.chunks(x) for k, x in enumerate(split)])
+            else:
+                parts.append([self.chunks(text)])
+            for x in parts[-1]:
+                if isinstance(x, list):
+                    seen.update(x)
+        if len(self.ids) > self.cache:
+            self.old, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        seen.difference_update(self.ids)
+        back, back_decoded = self.old
+        new = []
+        for chunk in seen:
+            if (ids := back.get(chunk)) is None:
+                new.append(chunk)
+            else:
+                self.ids[chunk], self.decoded[chunk] = ids, back_decoded[chunk]
+        if new:
+            self.add(new)
+        ids_of, decoded_of = self.ids.__getitem__, self.decoded.__getitem__
+        for own in parts:
+            done = [(str(a.special[x]), x) if isinstance(x, str) else (" ".join(map(ids_of, x)), " ".join(map(decoded_of, x))) for x in own]
+            yield done[0] if len(done) == 1 else (" ".join(x[0] for x in done if x[0]), " ".join(x[1] for x in done if x[0]))
+        for chunk in new:
+            if len(chunk) > LONG:
+                del self.ids[chunk], self.decoded[chunk]
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public vocabulary file, as its package gives it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def load_spec(path: str) -> tuple[dict, str]:
+    """A tokenizers vocabulary file and the digest of all of it, read on the driver; its size is that of the vocabulary, not of the data."""
+    with open(path, "rb") as f:
+        data = f.read()
+    spec = json.loads(data)
     got = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]], spec["model"]["type"]
     if got != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE"):
         raise ValueError(f"this kind of vocabulary file isn't supported: {got}")
-    return spec
+    return spec, sha256(data).hexdigest()
 
 
+#: By the digest of a whole vocabulary file: compiled tables (driver) and encoders (workers), the last one only.
+_TABLES: dict[str, dict] = {}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def tables_of(path: str) -> tuple[dict, str]:
+    spec, key = load_spec(path)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = compiled(spec)
+    return _TABLES[key], key
+
+
+def slices(texts: list[str], rows: int = 1000, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded rows and characters (one text at least)."""
+    at = total = 0
+    for k, x in enumerate(texts):
+        if k > at and (k - at >= rows or total + len(x) > chars):
+            yield at, k
+            at, total = k, 0
+        total += len(x)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
     """docs' other columns with n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids (array of int).
 
-    A null or empty text has no tokens. Rows keep their order within a partition; repeated
-    rows stay. Columns of docs that share a name with a new one are replaced.
+    Rows keep their order within a partition. Columns of docs that share a name with a new one are replaced.
     """
     import pyarrow as pa
 
-    spec = load_spec(path)
-    key = sha256(json.dumps(spec["model"]["merges"][:500]).encode() + path.encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    tables, key = tables_of(path)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids]
     kept = [c for c in docs.columns if c not in (*new, text)]
     types = {"n_tokens": "long", "token_ids": "array<int>"}
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {types.get(c, 'string')}" for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         if key not in _ENCODERS:
+            _ENCODERS.clear()
             _ENCODERS[key] = Encoder(Automaton(shared.value))
         encoder = _ENCODERS[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for at, stop in slices(texts):
+                part = batch.slice(at, stop - at)
                 counts, digests, decoded, flat = [], [], [], []
-                for x in part.column(part.num_columns - 1).to_pylist():
-                    own, back = encoder.encode(x)
+                gc.disable()  # many small objects and no cycles among them
+                for own, back in encoder.encode(texts[at:stop]):
                     counts.append(own.count(" ") + 1 if own else 0)
                     digests.append(sha256(own.encode()).hexdigest())
                     decoded.append(sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                     if ids:
                         flat.append(np.fromstring(own, dtype=np.int32, sep=" "))
+                gc.enable()
                 out = [*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

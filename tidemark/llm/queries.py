@@ -75,7 +75,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_texts(docs, f"{TOKENIZERS}/word_bpe_49k.json", ids=False)
+    return bpe.encode_texts(docs, bpe.vocabulary(), ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_license_scans, op3_html_extraction, op4_mixing, op5_secret_scans, op6_fingerprints, op7_simhash, op8_quality_rules, op9_warc, op10_bpe)}
