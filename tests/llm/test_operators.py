@@ -347,6 +347,93 @@ def test_links(spark, block):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def brute_near(texts, least=0.8, size=5):
+    """Distinct texts to their class by exact Jaccard similarity of all pairs that share a shingle."""
+    sets, where, parent = {}, collections.defaultdict(list), {}
+    for t in sorted(set(texts)):
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[t] = frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+        for g in sets[t] or [()]:
+            where[g].append(t)
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for t, own in sets.items():
+        shared = collections.Counter(o for g in own or [()] for o in where[g] if o < t)
+        for o, n in shared.items():
+            if not own and not sets[o] or own and sets[o] and n >= least * (len(own) + len(sets[o]) - n):
+                parent[find(o)] = find(t)
+    return {t: find(t) for t in sets}
+
+
+def near_classes(df):
+    rows = simhash.near_texts(df).collect()
+    assert len({r.key for r in rows}) == len(rows)
+    return {r.key: r for r in rows}
+
+
+def key_rows(df):
+    return df.select("doc_id", "text", simhash.key_of().alias("key")).collect()
+
+
+def test_near_texts(spark):
+    """Nothing below the similarity is linked, and at least 0.95 of the texts are in the classes of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got, rows = near_classes(docs), key_rows(docs)
+    text = {r.key: r.text or "" for r in rows}
+    want = brute_near(text.values())
+    ours, theirs = collections.defaultdict(set), collections.defaultdict(set)
+    for k, t in text.items():
+        ours[got[k].class_key].add(t)
+        theirs[want[t]].add(t)
+    assert all(len({want[t] for t in c}) == 1 for c in ours.values())
+    many = [c for c in theirs.values() if len(c) > 1]
+    whole = sum(len(c) for c in many if c in ours.values())
+    assert many and whole >= 0.95 * sum(map(len, many))
+    least = {}
+    for r in rows:
+        least[r.key] = min(least.get(r.key, r.doc_id), r.doc_id)
+    for c in ours.values():
+        keys = [k for k in text if text[k] in c]
+        assert {got[k].class_id for k in keys} == {min(least[k] for k in keys)}
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_near_copies(spark, block):
+    """A large group of different near copies is one class, beside texts of other kinds."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            own[rnd.randrange(200)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"v{rnd.randrange(10**6)}" for _ in range(100)) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in simhash.near_texts(df, block=block).collect()}
+    want = brute_near(texts)
+    least = {}
+    for k, t in rows:
+        least.setdefault(want[t], k)
+    right = sum(got[k] == least[want[t]] for k, t in rows)
+    assert set(got) == {k for k, _ in rows} and right >= 0.98 * len(rows) and all(got[k] == k for k in range(151, 171))
+
+
+def test_near_edges(spark, edge):
+    got = near_classes(edge)
+    by_text = {(r.text or ""): got[r.key] for r in key_rows(edge)}
+    assert by_text[""].class_id == by_text[" \n\t "].class_id == 1 and by_text[""].class_key == by_text[" \n\t "].class_key
+    assert by_text["one two three"].class_id == 3 and len({r.class_key for r in got.values()}) == 4
+    assert simhash.near_texts(edge.limit(0)).count() == 0
+    same_id = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (None, "m n o p q r"), (2, "A b c d e f")], "doc_id long, text string")
+    assert {(r.id, r.class_id) for r in simhash.near_texts(same_id).collect()} == {(1, 1), (None, None), (2, 1)}
+
+
 # --- quality -------------------------------------------------------------------------------
 
 

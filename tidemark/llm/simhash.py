@@ -11,6 +11,12 @@ anchor with more than `block` fingerprints is split into blocks, and each pair o
 holds an unbounded group and no pair is missed. Comparing emits a spanning forest of the links, never all pairs.
 Components come from alternating stars over the forest, cut by checkpoints.
 
+`near_texts` finds what the 64 bits of three-word shingles can't: documents whose sets of five-word shingles have a Jaccard similarity of 0.8
+or more. It nominates with a wide SimHash of 256 bits over pairs of neighbouring words, whose eight halves of words each have
+their anchors; two fingerprints share one if any half has 2 differing bits or fewer, as then some anchor is within distance 2 of both.
+What is nominated is decided by the exact similarity of the whole texts. Within an anchor of more than eight texts the nominations are a least
+spanning forest by distance, each text's four nearest and those near the most central text, so that a group of n near copies costs some n comparisons of texts, not n * n.
+
 Free style: fingerprints and comparisons in Arrow batches with numpy; the rest are DataFrames.
 
 Defined results: a null or empty text has fingerprint zero and links like any other, rows that repeat share their
@@ -21,24 +27,74 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_of
+from tidemark.llm.common import cut, small, text_of
 
 #: Bits at which fingerprints still link, and fingerprints that an anchor's block holds.
 DISTANCE, BLOCK = 3, 4096
+#: Of near_texts: words of a shingle and similarity that decide; words of a feature, 64-bit words of the wide fingerprint, and bits of the first three of them at which texts are still compared, and neighbours that a row has in a large group.
+SHINGLE, SIMILARITY, FEATURE, WIDE, NOMINATED, NEIGHBOURS = 5, 0.8, 2, 4, 42, 4
+
+
+def ones_of(rows: np.ndarray) -> np.ndarray:
+    """How many of the rows (bytes) have each bit."""
+    bits = np.unpackbits(rows, axis=1)
+    # sums of up to 255 rows fit a byte
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent 64-bit hashes that follow from one."""
+    x = (h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """Hashes of a text's shingles of so many words, repeats included: one of all words if there are fewer, none without words."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter(map(digest, words), np.uint64, len(words))
+    size = min(size, len(h))
+    if not size:
+        return h
+    out = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        out = mixed(out, 0) + h[k : k + len(out)]
+    return out
+
+
+def wide_simhash(text: str, size: int = FEATURE, count: int = WIDE) -> list[int]:
+    """A SimHash of count signed 64-bit words; zeros for a text without words."""
+    h = shingle_hashes(text, size)
+    ones = np.zeros(64 * count, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        part = h[at : at + (1 << 15)]
+        ones += ones_of(np.stack([mixed(part, k + 1) for k in range(count)], axis=1).view(np.uint8).reshape(len(part), -1))
+    return np.packbits(2 * ones > len(h)).view(np.int64).tolist()
+
+
+def similarity(a: str, b: str, size: int = SHINGLE) -> float:
+    """Jaccard similarity of the sets of shingles; 1 if neither text has words."""
+    x, y = (np.unique(shingle_hashes(t, size)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs' columns (or those of keep) with __fp, the SimHash of three-word shingles as a signed 64-bit integer."""
     import pyarrow as pa
 
-    kept = [c for c in docs.columns if keep is None or c in keep]
+    kept = [c for c in docs.columns if (keep is None or c in keep) and c != "__fp"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "__fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import xxhash
 
         digest = xxhash.xxh64_intdigest
@@ -56,7 +112,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | No
             stops = (ends[2:] - 1).tolist()
             for at in range(0, n, 1 << 16):
                 h = np.array([digest(flat[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)], np.uint64)
-                ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                ones += ones_of(h.astype(">u8").view(np.uint8).reshape(-1, 8))
             return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
         for batch in batches:
@@ -66,13 +122,13 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | No
     return docs.select(*(F.col(f"`{c}`") for c in kept), text_of(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
-def anchored(distinct: DataFrame) -> DataFrame:
-    """(fp) to (anchor, fp): each fingerprint at every anchor within distance 2 of either half."""
+def anchored(distinct: DataFrame, words: list[str], carried: list[str]) -> DataFrame:
+    """Rows to (anchor, carried): each row at every anchor within distance 2 of either half of any of the words."""
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    names = ["anchor", *carried]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.uint64((1 << 31) - 1)
         # parity masks of the syndrome: bit k of the syndrome sums the positions (from 1) whose number has bit k
         masks = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)) for k in range(5)]
@@ -80,99 +136,135 @@ def anchored(distinct: DataFrame) -> DataFrame:
         flips = [[0] if s == 0 else [1 << (s - 1), *(1 << (p - 1) | 1 << ((p ^ s) - 1) for p in range(1, 32) if p < p ^ s)] for s in range(32)]
         table = np.array([f + [-1] * (16 - len(f)) for f in flips], np.int64)
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 100_000):
-                own = fps[at : at + 100_000]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            for at in range(0, batch.num_rows, 10_000):
+                own = [c[at : at + 10_000] for c in cols]
                 anchors, who = [], []
-                for half in (0, 1):
-                    x = own >> np.uint64(32 * half) & low
+                for half in range(2 * len(words)):
+                    x = own[half // 2].view(np.uint64) >> np.uint64(32 * (half % 2)) & low
                     s = sum((np.bitwise_count(x & m) & 1).astype(np.int64) << k for k, m in enumerate(masks))
-                    rows, cols = np.nonzero(table[s] >= 0)
-                    anchors.append((x[rows] ^ table[s][rows, cols].astype(np.uint64)).astype(np.int64) << 1 | half)
-                    who.append(own[rows])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(who).view(np.int64))], names=["anchor", "fp"])
+                    rows, places = np.nonzero(table[s] >= 0)
+                    anchors.append((x[rows] ^ table[s][rows, places].astype(np.uint64)).astype(np.int64) << 4 | half)
+                    who.append(rows)
+                who = np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), *(pa.array(c[who]) for c in own[len(words) :])], names=names)
 
-    return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
+    return distinct.select(*words, *[F.col(c).alias(f"__{k}") for k, c in enumerate(carried)]).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def linked(placed: DataFrame) -> DataFrame:
-    """(anchor, p, q, fp), grouped and sorted, to links (a, b), a < b: a spanning forest of each group's links."""
+def linked(placed: DataFrame, key: int, compared: list[int], distance: int, nearest: bool) -> DataFrame:
+    """Rows of longs (anchor, p, q, carried), grouped by the first three, to links (a, b) of keys, a < b.
+
+    Rows link at `distance` or fewer differing bits in the columns compared. Groups of up to eight give all their links, larger ones a spanning
+    forest of them, with `nearest` one of least distances, each row's nearest and the links of the most central row, from which copies may stem.
+    """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        def far(cols: list[np.ndarray], i: np.ndarray | slice, j: np.ndarray | int) -> np.ndarray:
+            return sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in cols)
 
-        def forest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Breadth-first over one group's links."""
-            a, b, rest = [], [], x[1:]
-            front = [x[0]]
+        def forest(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """Breadth-first over one group's links, as positions."""
+            a, b, rest, front = [], [], np.arange(1, len(cols[0])), [0]
             while len(rest):
                 if not front:
                     front, rest = [rest[0]], rest[1:]
                     continue
                 u = front.pop()
-                near = np.bitwise_count(rest ^ u) <= DISTANCE
+                near = far(cols, rest, u) <= distance
                 if near.any():
                     got = rest[near]
                     a.append(np.full(len(got), u))
                     b.append(got)
                     front.extend(got)
                     rest = rest[~near]
-            return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
-
-        def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            """All links of groups of up to 8, forests of larger ones."""
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
+            return (np.concatenate(a), np.concatenate(b)) if a else (rest, rest)
+
+        def least_forest(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """The same by least distances, as the nearest row outside the trees comes next, with every row's nearest and the most central row."""
+            n, a, b = len(cols[0]), [], []
+            done = np.iinfo(np.int16).max
+            best, by, total = np.full(n, done - 1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for _ in range(n):
+                v = int(best.argmin())
+                d = far(cols, slice(None), v)
+                if best[v] <= distance:
+                    a.append(by[v : v + 1])
+                    b.append(np.array([v]))
+                closer = (d < best) & (best != done)
+                best[closer], by[closer] = d[closer], v
+                total += np.minimum(d, distance + 1)
+                best[v] = d[v] = done
+                near = np.argpartition(d, NEIGHBOURS)[:NEIGHBOURS]
+                near = near[d[near] <= distance]
+                a.append(near)
+                b.append(np.full(len(near), v))
+            v = int(total.argmin())
+            near = np.flatnonzero(far(cols, slice(None), v) <= distance)
+            near = near[near != v]
+            a.append(near)
+            b.append(np.full(len(near), v))
+            return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+
+        def links(groups: np.ndarray, keys: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            sizes = np.diff(np.r_[starts, len(groups)])
             a, b = [], []
             few = np.repeat(sizes <= 8, sizes)
             for shift in range(1, 8):
-                i = np.flatnonzero(few[:-shift] & (keys[:-shift] == keys[shift:])) if len(keys) > shift else np.zeros(0, int)
+                i = np.flatnonzero(few[:-shift] & (groups[:-shift] == groups[shift:])) if len(groups) > shift else np.zeros(0, int)
                 if not len(i):
                     break
-                i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= DISTANCE]
-                a.append(fps[i])
-                b.append(fps[i + shift])
+                i = i[far(cols, i, i + shift) <= distance]
+                a.append(i)
+                b.append(i + shift)
             for at, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-                u, v = forest(fps[at : at + n])
-                a.append(u)
-                b.append(v)
-            a, b = (np.concatenate(z).view(np.int64) if z else np.zeros(0, np.int64) for z in (a, b))
+                u, v = (least_forest if nearest else forest)([c[at : at + n] for c in cols])
+                a.append(at + u)
+                b.append(at + v)
+            a, b = (keys[np.concatenate(z).astype(np.int64)] if z else keys[:0] for z in (a, b))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         last, group = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             new = np.r_[last is not None and any(c[0] != x for c, x in zip(cols[:3], last, strict=True)), np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)]
-            keys, last = group + np.cumsum(new), [c[-1] for c in cols[:3]]
-            group = int(keys[-1])
-            fps = cols[3].view(np.uint64)
-            edge = int(np.searchsorted(keys, group))
+            groups, last = group + np.cumsum(new), [c[-1] for c in cols[:3]]
+            group = int(groups[-1])
+            own = [groups, cols[key], *(cols[k].view(np.uint64) for k in compared)]
+            edge = int(np.searchsorted(groups, group))
             if edge:  # groups that end in this batch
-                held.append((keys[:edge], fps[:edge]))
-                yield links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                held.append([c[:edge] for c in own])
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield links(whole[0], whole[1], whole[2:])
                 held = []
-            held.append((keys[edge:], fps[edge:]))
+            held.append([c[edge:] for c in own])
         if held:
-            yield links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield links(whole[0], whole[1], whole[2:])
 
     return placed.mapInArrow(run, "a long, b long")
 
 
+def met(distinct: DataFrame, words: list[str], carried: list[str], block: int) -> DataFrame:
+    """(anchor, p, q, carried), grouped and sorted: what meets at an anchor, those of more than `block` rows in pairs of blocks."""
+    pairs = anchored(distinct, words, carried)
+    large = pairs.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("__anchor"), F.ceil(F.col("count") / block).cast("int").alias("__n"))
+    split = pairs.join(small(large), F.col("anchor") == F.col("__anchor"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    part = F.pmod(F.xxhash64(carried[0]), F.col("__n")).cast("long")
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1), lambda k: F.struct(F.least(part, k).alias("p"), F.greatest(part, k).alias("q")))
+    placed = split.select("anchor", *carried, F.inline(meets)).select("anchor", "p", "q", *carried)
+    return placed.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", carried[0])
+
+
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp): their components are those of all pairs within the distance."""
-    pairs = anchored(distinct)
-    large = pairs.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("__anchor"), F.ceil(F.col("count") / block).cast("int").alias("__n"))
-    split = pairs.join(large, F.col("anchor") == F.col("__anchor"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
-    part = F.pmod(F.xxhash64("fp"), F.col("__n")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda k: F.struct(F.least(part, k).alias("p"), F.greatest(part, k).alias("q")))
-    placed = split.select("anchor", "fp", F.inline(meets)).select("anchor", "p", "q", "fp")
-    placed = placed.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", "fp")
-    return linked(placed).distinct()
+    return linked(met(distinct, ["fp"], ["fp"], block), 3, [3], DISTANCE, False).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,9 +307,69 @@ def classes(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def with_components(printed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """printed with component_id; printed is read twice and so should be written first."""
-    found = classes(printed, id_col).select(F.col("fp").alias("__key"), "component_id")
-    return printed.join(found, F.col("__fp") == F.col("__key")).drop("__key")
+    """printed with component_id, which replaces a column of that name; printed is read twice and so should be written first."""
+    found = classes(printed, id_col).select(F.col("fp").alias("__key"), F.col("component_id").alias("__component"))
+    own = [F.col(f"`{c}`") for c in printed.columns if c != "component_id"]
+    return printed.join(found, F.col("__fp") == F.col("__key")).select(*own, F.col("__component").alias("component_id"))
+
+
+def key_of(text: str = "text") -> Column:
+    """The hash that stands for a text in near_texts: two texts share one by chance in 1 of 2**64 pairs."""
+    return F.xxhash64(text_of(f"`{text}`"))
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: id, key, and the wide fingerprint f0, f1, ..."""
+    import pyarrow as pa
+
+    names = [f"f{k}" for k in range(WIDE)]
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, " + ", ".join(f"{x} long" for x in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.array([wide_simhash(x) for x in batch.column(2).to_pylist()], np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k].copy()) for k in range(WIDE))], names=["id", "key", *names])
+
+    return docs.select(F.col(f"`{id_col}`").alias("id"), key_of(text).alias("key"), text_of(f"`{text}`").alias("text")).mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:
+    """(a, b, text_a, text_b) to those (a, b) whose texts are at least so similar."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                near = [similarity(a, b, size) >= least for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row for each distinct text of docs: (key, id, class_key, class_id).
+
+    key is the text's hash, id the smallest id that has it, class_key and class_id those of the text that stands for its class: the
+    one with the smallest id (then key) among all that links reach. Rows with equal texts are one text, whatever their ids; rows that share an id but not
+    a text stay apart; null ids are larger than others; texts without words are alike; no rows give no rows.
+    """
+    printed = wide_fingerprints(docs, id_col, text)
+    words = [f"f{k}" for k in range(WIDE)]
+    own = cut(printed.groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in words]))
+    pairs = cut(linked(met(own, words, ["key", *words[:3]], block), 3, [4, 5, 6], NOMINATED, True).distinct())
+    asked = own.select("key", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    asked = small(asked.select(F.col("key").alias("__key"), F.col("id").alias("__id")))
+    # one text for each key, by its smallest id; rows that repeat both give a pair more than once, which does no harm
+    body = docs.select(key_of(text).alias("key"), F.col(f"`{id_col}`").alias("__own"), text_of(f"`{text}`").alias("body"))
+    texts = cut(body.join(asked, (F.col("key") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))).select("key", "body"))
+    one, two = texts.toDF("key_a", "text_a"), texts.toDF("key_b", "text_b")
+    edges = verified(pairs.join(one, F.col("a") == F.col("key_a")).join(two, F.col("b") == F.col("key_b")), least, size).distinct()
+    found = own.select("key", "id").join(components(edges), F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    found = cut(found)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    first = found.groupBy(F.col("root").alias("__root")).agg(F.min(order).alias("__first"))
+    return found.join(first, F.col("root") == F.col("__root")).select("key", "id", F.col("__first.key").alias("class_key"), F.col("__first.id").alias("class_id"))
 
 
 def hexed(fp: Column) -> Column:
