@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import VOCABULARY, WORD, base_spans, brute_components, brute_simhash
+from tests.llm.test_operators import VOCABULARY, WORD, base_spans, brute_near
 from tidemark.llm import mixing, queries
 
 
@@ -54,9 +54,12 @@ def test_pipeline(spark, sf_dir, tmp_path):
     # quality: the query's verdicts
     kept = {r.doc_id for r in queries.QUERIES["op8_quality_rules"](spark, sf_dir).filter("kept").collect()}
     assert sorted(ids[1]) == sorted(kept) and 0 < len(kept) < len(ids[0])
-    # near duplicates: the smallest id of each component among what is left
-    comp = brute_components([(r.doc_id, brute_simhash(r.text or "")) for r in rows[1]])
-    assert sorted(ids[2]) == sorted(set(comp.values())) and len(ids[2]) < len(ids[1])
+    # near duplicates: the smallest id of each class of five-word similarity 0.8 or more among what is left
+    own = brute_near([r.text or "" for r in rows[1]])
+    least = {}
+    for r in rows[1]:
+        least[own[r.text or ""]] = min(least.get(own[r.text or ""], r.doc_id), r.doc_id)
+    assert sorted(ids[2]) == sorted(least.values()) and len(ids[2]) < len(ids[1])
     # secrets: every document stays, and no pattern finds anything in it
     before = {r.doc_id: r for r in rows[2]}
     assert sorted(ids[3]) == sorted(ids[2]) and any(base_spans(r.text or "") for r in rows[2])
@@ -94,9 +97,9 @@ def test_pipeline_edges(spark, tmp_path):
 
 
 def test_near_dedup_edges(spark):
-    """Repeated ids keep their first row, a null id stays if it stands alone, columns named like internal ones survive."""
-    rows = [(None, "none of the others is like this one", 1), (4, "b b b", 2), (4, "b b b", 1), (4, None, 3), (5, None, 1), (6, "", 1), (7, "b b b", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long").withColumn("fp", F.lit("x")).withColumn("__id", F.lit(1)).withColumn("a.b", F.lit("y"))
+    """Only rows with like texts go; a null id stays if it stands alone, columns named like internal ones survive."""
+    rows = [(None, "none of the others is like this one", 1), (4, "b b b", 2), (4, "b b b", 1), (4, None, 3), (5, None, 1), (6, "", 1), (7, "b b b", 0), (8, "B b b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long").withColumn("key", F.lit("x")).withColumn("__id", F.lit(1)).withColumn("a.b", F.lit("y"))
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert got.columns == docs.columns
-    assert {(r.doc_id, r.text, r.component_id) for r in got.collect()} == {(None, rows[0][1], 1), (4, None, 3)}
+    assert {(r.doc_id, r.text, r.component_id) for r in got.collect()} == {(None, rows[0][1], 1), (4, "b b b", 1), (4, None, 3)}
