@@ -478,6 +478,45 @@ def test_quality_junk(spark, share):
         assert all(r["__kept"] != r.junk for r in out)
 
 
+def test_quality_follows(spark):
+    """Thresholds differ by group and move with a source."""
+    rnd = random.Random(8)
+
+    def rows(source, length, symbols, lang="en"):
+        word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(max(2, round(rnd.gauss(length, 2))))) + "#" * (rnd.random() < symbols)
+        return [(" ".join(word() for _ in range(100)), lang, source) for _ in range(120)]
+
+    def limits(*groups):
+        df = spark.createDataFrame([r for g in groups for r in rows(*g)], "text string, lang string, source string")
+        measured = quality.measure(df).cache()
+        found = {(r.lang, r.source): r for r in quality.thresholds(quality.sketch(measured, quality.Rules()), quality.Rules()).collect()}
+        kept = {r.source: r.n for r in quality.judged(measured, quality.Rules()).filter("__kept").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return found, kept
+
+    one, kept = limits(("news", 5, 0.0), ("law", 11, 0.0), ("code", 5, 0.5), ("misc", 6, 0.05))
+    assert set(kept.values()) == {120}
+    assert one["en", "law"].word_length > 1.5 * one["en", "news"].word_length and one["en", "code"].symbols > 2 * one["en", "news"].symbols
+    two, kept = limits(("news", 8, 0.3), ("law", 11, 0.0), ("code", 5, 0.5), ("misc", 6, 0.05))
+    assert set(kept.values()) == {120}
+    assert two["en", "news"].word_length > 1.2 * one["en", "news"].word_length and two["en", "news"].symbols > one["en", "news"].symbols + 0.1
+
+
+def test_quality_sketch(spark):
+    """The sketch's quantiles against exact ones: at most a bin's width below; sketches of parts add up."""
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(" ".join("x" * rnd.randrange(1, 20) + str(i) for i in range(60)), "en", "s") for _ in range(400)], "text string, lang string, source string")
+    rules = quality.Rules(least=1)
+    measured = quality.measure(df).cache()
+    whole = sorted(map(tuple, quality.sketch(measured, rules).collect()))
+    one, two = measured.randomSplit([0.4, 0.6], 3)
+    parts = quality.sketch(one, rules).unionByName(quality.sketch(two, rules)).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, parts.collect())) == whole
+    limit = quality.thresholds(quality.sketch(measured, rules), rules).first().word_length
+    exact = sorted(r["__quality"].word_chars / 60 for r in measured.collect())
+    start, low = exact[99], exact[39]
+    assert abs(limit - (start + 12 * max(start - low, 0.02 * start))) <= 0.02 * start + 12 * 0.02 * start + 1e-9
+
+
 def test_words(spark):
     df = spark.createDataFrame([("",), (" \x0b\x0c ",), ("a",), ("\ta \r\n b\x0bc ",), ("x y z",)], "text string")
     got = [(r.w, r.n) for r in df.select(words(F.col("text")).alias("w"), word_count(F.col("text")).alias("n")).collect()]

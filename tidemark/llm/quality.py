@@ -3,12 +3,14 @@
 Native: DataFrame functions only. Each text is measured in its own row, map-only. The thresholds come
 from a mergeable quantile sketch: every measure falls into a bin of a fixed relative width, and
 counting rows per (lang, source, measure, bin) is the sketch. Bins add up, so partial counts combine before the
-shuffle, a hot source costs no more than its bins, and the result doesn't depend on the order of rows. A group's threshold is
-its upper quartile plus `spread` times its distance from the median, at least the floor, so that it is wide where a
-source varies and doesn't eat into a clean source. Two bounds keep it from following junk. It is at most the median plus
-`spread` times its distance from the lower quartile, which up to half of junk doesn't move; and it is at most `excess` times
-the median of the groups' thresholds (one vote a group, the floor if under three vote or if that is more), which a source that is
-mostly junk doesn't move either. Groups under `least` rows take the thresholds
+shuffle, a hot source costs no more than its bins, and the result doesn't depend on the order of rows.
+
+No cutoff is fixed. A group's threshold is its `start` quantile plus `spread` times a scale: the greatest of the distance from its `low` to its
+`start` quantile, of what the distance from the `start` to the `high` quantile usually is (the median of all groups, if at least three vote), and of a bin's
+width. The group's own quantiles are low ones, which junk doesn't reach until it is more than 1 - `start` of a source; the upper tail is a vote of
+sources, which a few sources full of junk don't move. A source whose texts are all longer in words or
+richer in symbols has its own higher threshold. Measures that are shares of n words or lines may exceed the threshold t by what chance gives in
+so few: `noise` * sqrt(t / n) + `noise`**2 / n. Groups under `least` rows take the quantiles
 of their language, and languages under it those of all rows. The thresholds, one row a group, are joined back
 (broadcast only if counted to be few).
 
@@ -26,19 +28,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small, text_of, words
 
 
+#: Measures with a threshold, and what the shares among them are shares of.
+MEASURES = {"word_length": None, "symbols": "n_words", "dup_lines": "n_lines", "repeats": "n_words"}
+
+
 @dataclass(frozen=True)
 class Rules:
-    """Parameters: the base rule, the sketch's relative bin width, and the thresholds' spread and floors by measure."""
+    """Parameters: the base rule, the sketch's relative bin width, and how thresholds follow from quantiles."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     width: float = 0.02
-    spread: float = 8.0
-    #: How far a group's threshold may exceed what is usual among the groups.
-    excess: float = 1.5
+    low: float = 0.1
+    start: float = 0.25
+    high: float = 0.9
+    spread: float = 12.0
+    noise: float = 3.0
     least: int = 100
-    #: Measure to the floor of its upper threshold.
-    floors: tuple[tuple[str, float], ...] = (("word_length", 12.0), ("symbols", 0.1), ("dup_lines", 0.5), ("repeats", 0.4))
 
 
 def repeated_words(array: Column) -> Column:
@@ -120,43 +126,41 @@ def thresholds(sketched: DataFrame, rules: Rules) -> DataFrame:
         at = F.aggregate("bins", first, step)["bin"]
         return F.when(at == 0, 0.0).otherwise(F.pow(F.lit(1.0 + rules.width), at - 1) / 1000000.0)
 
-    def floor_of(measure: str) -> Column:
-        floor = F.lit(None).cast("double")
-        for name, least in rules.floors:
-            floor = F.when(F.col(measure) == name, F.lit(least)).otherwise(floor)
-        return floor
-
-    floor = floor_of("measure")
-    limit = F.greatest(floor, F.least(quantile(0.75) + rules.spread * (quantile(0.75) - quantile(0.5)), quantile(0.5) + rules.spread * (quantile(0.5) - quantile(0.25))))
+    start = quantile(rules.start)
+    found = {"start": start, "below": start - quantile(rules.low), "above": quantile(rules.high) - start}
 
     def level(name: str, *keys: str) -> DataFrame:
-        return merged(*keys).filter(F.col("rows") >= (rules.least if keys else 0)).select(*keys, "measure", limit.alias(name))
+        return merged(*keys).filter(F.col("rows") >= (rules.least if keys else 0)).select(*keys, "measure", F.struct(*[c.alias(k) for k, c in found.items()]).alias(name))
 
     groups = sketched.select("lang", "source", "measure").distinct()
     own, lang, every = level("own", "lang", "source").alias("o"), level("of_lang", "lang").alias("l"), level("of_all").alias("a")
-    # a floor is the least of thresholds, so it stands for them where too few vote
-    usual = own.groupBy("measure").agg(F.when(F.count(F.lit(1)) >= 3, F.percentile_approx("own", 0.5, 10000)).alias("usual")).alias("u")
+    voted = F.when(F.count(F.lit(1)) >= 3, F.percentile_approx("own.above", 0.5, 10000)).otherwise(0.0)
+    usual = own.groupBy("measure").agg(voted.alias("usual")).alias("u")
     g = groups.alias("g")
     same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    found = (
+    joined = (
         g.join(own, same("g", "o", "lang", "source", "measure"), "left")
         .join(lang, same("g", "l", "lang", "measure"), "left")
         .join(every, same("g", "a", "measure"), "left")
         .join(usual, same("g", "u", "measure"), "left")
-        .select("g.lang", "g.source", "g.measure", F.least(F.coalesce("own", "of_lang", "of_all"), rules.excess * F.coalesce("usual", floor_of("g.measure"))).alias("limit"))
+        .select("g.lang", "g.source", "g.measure", F.coalesce("own", "of_lang", "of_all").alias("q"), "of_all", "usual")
     )
-    return found.groupBy("lang", "source").pivot("measure", [n for n, _ in rules.floors]).agg(F.first("limit"))
+    limit = F.col("q.start") + rules.spread * F.greatest(F.col("q.below"), F.coalesce("usual", "of_all.above"), rules.width * F.col("q.start"))
+    return joined.select("lang", "source", "measure", limit.alias("limit")).groupBy("lang", "source").pivot("measure", list(MEASURES)).agg(F.first("limit"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, rules: Rules) -> DataFrame:
     """measured with base_failed and kept: joined filtering by the group's thresholds."""
     q = F.col("__quality")
-    names = [n for n, _ in rules.floors]
-    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(n).alias(f"__max_{n}") for n in names])
+    limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(n).alias(f"__max_{n}") for n in MEASURES])
     joined = measured.join(small(limits), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     fine = F.lit(True)
     for name, x in ratios(q).items():
-        fine = fine & F.coalesce(x <= F.col(f"__max_{name}"), F.lit(True))
+        top = F.col(f"__max_{name}")
+        if MEASURES[name]:
+            n = F.nullif(q[MEASURES[name]], F.lit(0))
+            top = top + rules.noise * F.sqrt(top / n) + rules.noise * rules.noise / n
+        fine = fine & F.coalesce(x <= top, F.lit(True))
     own = [F.col(f"`{c}`") for c in measured.columns]
     return joined.select(*own, base_failed(q, rules).alias("__base_failed"), (~base_failed(q, rules) & fine).alias("__kept"))
 

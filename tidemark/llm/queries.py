@@ -106,36 +106,39 @@ CHAT_SQL = r"""
 def quality_sql(rules: quality.Rules) -> str:
     """The base rule, the sketch and the joined thresholds in SQL."""
     edge = f"CASE WHEN bin = 0 THEN 0.0::DOUBLE ELSE pow({1.0 + rules.width}::DOUBLE, bin - 1) / 1000000.0::DOUBLE END"
-    floors = " ".join(f"WHEN '{n}' THEN {x}::DOUBLE" for n, x in rules.floors)
 
     def level(name: str, *keys: str) -> str:
         by = "".join(f"{k}, " for k in keys)
         least = rules.least if keys else 0
         at = lambda q: f"min({edge}) FILTER (seen >= {q}::DOUBLE * rows)"
-        return f"""{name} AS (SELECT {by}measure, greatest(CASE measure {floors} END, {at(0.75)} + {rules.spread}::DOUBLE * ({at(0.75)} - {at(0.5)})) AS top
+        return f"""{name} AS (SELECT {by}measure, {at(rules.start)} AS start, {at(rules.start)} - {at(rules.low)} AS below, {at(rules.high)} - {at(rules.start)} AS above
             FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}measure) AS rows
                 FROM (SELECT {by}measure, bin, count(*) AS n FROM binned GROUP BY ALL)) WHERE rows >= {least} GROUP BY {by}measure)"""
 
+    start = "coalesce(own.start, by_lang.start, every.start)"
+    top = f"{start} + {rules.spread}::DOUBLE * greatest(coalesce(own.below, by_lang.below, every.below), coalesce(usual.usual, every.above), {rules.width}::DOUBLE * {start})"
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
     g AS (SELECT id, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS gram FROM w),
-    t AS (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g),
-    r AS (SELECT id, count(DISTINCT place) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS place FROM t WHERE n > 1) GROUP BY id),
+    s AS (SELECT id, i, count(*) OVER (PARTITION BY id, gram) AS n FROM g),
+    r AS (SELECT id, count(DISTINCT place) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS place FROM s WHERE n > 1) GROUP BY id),
     q AS (SELECT id, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (id)),
     f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM q),
-    m AS (SELECT id, lang, source, base_failed, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
+    m AS (SELECT id, lang, source, base_failed, unnest([NULL, n_words, n_lines, n_words]) AS share_of, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
         unnest([CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words END, CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words END,
             CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines END, CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words END]) AS x FROM f),
     binned AS (SELECT *, CASE WHEN x > 0 THEN CAST(floor(ln(x * 1000000.0::DOUBLE) / ln({1.0 + rules.width}::DOUBLE)) AS INTEGER) + 1 ELSE 0 END AS bin FROM m WHERE NOT base_failed),
     {level("own", "lang", "source")}, {level("by_lang", "lang")}, {level("every")},
-    v AS (SELECT m.id, bool_and(coalesce(m.x <= coalesce(own.top, by_lang.top, every.top), true)) AS fine FROM m
+    usual AS (SELECT measure, CASE WHEN count(*) >= 3 THEN quantile_disc(above, 0.5) ELSE 0.0::DOUBLE END AS usual FROM own GROUP BY measure),
+    t AS (SELECT m.id, m.x, m.share_of::DOUBLE AS n, {top} AS top FROM m
         LEFT JOIN own ON own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source AND own.measure = m.measure
         LEFT JOIN by_lang ON by_lang.lang IS NOT DISTINCT FROM m.lang AND by_lang.measure = m.measure
-        LEFT JOIN every ON every.measure = m.measure GROUP BY m.id)
+        LEFT JOIN every ON every.measure = m.measure LEFT JOIN usual ON usual.measure = m.measure),
+    v AS (SELECT id, bool_and(coalesce(x <= CASE WHEN n IS NULL THEN top ELSE top + {rules.noise}::DOUBLE * sqrt(top / n) + {rules.noise * rules.noise}::DOUBLE / n END, true)) AS fine FROM t GROUP BY id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM f JOIN v USING (id)
 """
 
