@@ -46,7 +46,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
     n = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.told(F.col("__base")), 256).alias("base_sha256"), secrets.told(F.col("__spans")).alias("spans"))
 

@@ -2,33 +2,41 @@
 
 Native: DataFrame functions only, map-only but for one small histogram.
 
-Candidates are the longest runs of `[A-Za-z0-9+/_=-]` of 20 or more characters. Each gets the smallest encoding of its characters (hex,
-base32 or base36 of one case, base62, base64) and is held against uniform draws from that encoding's alphabet:
+Candidates are the longest runs of `[A-Za-z0-9+/_=-]` of 20 or more characters that no pattern's span touches and that aren't all hex. Each
+gets the smallest encoding of its characters (hex, base32 or base36 of one case, base62, base64) and is tested in both directions.
 
-* chi-squared over character classes (lower, upper, digit or other; in one case vowel, consonant, digit), which finds prose, names and numbers,
+Against chance, for uniform draws from the encoding's alphabet:
+
+* chi-squared over character classes (lower, upper, digit or other; in one case vowel, consonant, digit),
 * collisions, the chi-squared of single symbols in the form that holds for short strings,
 * runs, the number of changes of class,
 * serial correlation of neighbouring symbols' positions in the alphabet.
 
-The least p-value times their number is the candidate's p-value for being random; for base32 and base36 it is doubled, as one of
-the two was chosen. A run of small letters alone is held against base62, where it is ordinary, as most such runs are long words: a lower-case
-base32 key without a digit (1.6 % of those of 20 characters, 0.1 % of 32) isn't found. Candidates are told from
-random strings by Benjamini-Hochberg in each band of lengths, as short strings give weaker evidence: those that it rejects
-at the level `fdr` are ordinary, the others are secrets. Its ranks come from a histogram of p-values per
+A candidate whose least p-value, times the number of tests, is under `level` isn't random: a repeated or counted-up string, say.
+
+Against ordinary text (words, names and identifiers run together): the log-likelihood ratio of the two over the same three things, the alphabet
+(rare and common consonants), the serial dependence of neighbouring letters (vowels and consonants take turns in text) and the runs (changes of class are fewer). Under ordinary text the
+sum has a known mean and variance for the candidate's number of letters and pairs, so a long candidate can give more evidence than a short one; the p-value is the upper tail.
+Small p-values speak for a secret, and Benjamini-Hochberg in each band of lengths keeps the share of false ones among the secrets at `fdr`: a short
+candidate is judged among short ones, and little evidence means no secret. Ranks come from a histogram of p-values per
 band, which adds up over partitions, so every candidate of the corpus counts.
 
-Defined results: a null text counts as empty, matches that overlap in different kinds all stay, a found run that
-overlaps a pattern's span is not added again, repeated rows repeat, an empty table gives no rows.
+A run of small letters alone is held against base62, where it is ordinary, as most such runs are long words: a lower-case
+base32 key without a digit (1.6 % of those of 20 characters, 0.1 % of 32) isn't found.
+
+Defined results: a null or empty text has no spans, texts of any length are read whole, matches that overlap in different kinds all stay, ties (spans with one start) come in
+the order of kinds, repeated rows repeat, an empty table gives no rows, columns of docs named __base or __spans are replaced and further ones stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_of
+from tidemark.llm.common import cut, text_of, written
 
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "(AKIA[A-Z0-9]{14,})"
@@ -39,10 +47,11 @@ SPAN = "array<struct<start: int, kind_no: int, kind: string, end: int>>"
 
 @dataclass(frozen=True)
 class Battery:
-    """Parameters: the shortest candidate, the level of false discoveries, and the histogram's bins (tenths of a power of ten)."""
+    """Parameters: the shortest candidate, the share of false discoveries, the level of the tests against chance, and the histogram's bins (tenths of a power of ten)."""
 
     least: int = 20
     fdr: float = 0.01
+    level: float = 0.0001
     bins: int = 300
 
     @property
@@ -105,8 +114,49 @@ def tail(z: Column) -> Column:
     return F.exp(-z * z / 2) * 0.3989422804014327 * poly
 
 
+#: Ordinary text, as rates: vowels among letters, a vowel after a vowel and after a consonant, rare ones among consonants, changes of class in one case and in mixed case.
+VOWELS, AFTER_VOWEL, AFTER_CONSONANT, RARE, CHANGES_ONE, CHANGES_MIXED = 0.39, 0.12, 0.56, 0.10, 0.15, 0.40
+
+
+def ordinary(token: Column, turn: Column, mixed: Column) -> Column:
+    """The p-value of a token as ordinary text; turn: the rate of class changes among random ones, mixed: whether it may have both cases."""
+    t = F.translate(F.lower(token), "aeioubcdfghlmnprstyjkqvwxz0123456789+/_=-", "v" * 5 + "c" * 14 + "r" * 7 + "d" * 10 + "o" * 5)
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "l"), "[A-Z]", "u"), "[^lu]", "d")
+    n = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    counts = F.struct(
+        n(t, "v(?=v)").alias("vv"),
+        n(t, "v(?=[cr])").alias("vc"),
+        n(t, "[cr](?=v)").alias("cv"),
+        n(t, "[cr](?=[cr])").alias("cc"),
+        n(t, "r").alias("rare"),
+        n(t, "c").alias("common"),
+        n(kinds, "l(?=[ud])|u(?=[ld])|d(?=[lu])").alias("change"),
+        (F.length(token) - 1).cast("double").alias("pairs"),
+    )
+    vowel, rare = 5 / 26, 7 / 21
+    after_v = [log(vowel / AFTER_VOWEL), log((1 - vowel) / (1 - AFTER_VOWEL))]
+    after_c = [log(vowel / AFTER_CONSONANT), log((1 - vowel) / (1 - AFTER_CONSONANT))]
+    of_rare = [log(rare / RARE), log((1 - rare) / (1 - RARE))]
+    mean = lambda share, w, k: share * w[0] ** k + (1 - share) * w[1] ** k
+    letters = [VOWELS * mean(AFTER_VOWEL, after_v, k) + (1 - VOWELS) * mean(AFTER_CONSONANT, after_c, k) for k in (1, 2)]
+    rares = [mean(RARE, of_rare, k) for k in (1, 2)]
+    usual = F.when(mixed, CHANGES_MIXED).otherwise(CHANGES_ONE)
+    weights = F.struct(F.log(turn / usual).alias("yes"), F.log((1 - turn) / (1 - usual)).alias("no"), usual.alias("usual"))
+
+    def p(c: Column, w: Column) -> Column:
+        got = c["vv"] * after_v[0] + c["vc"] * after_v[1] + c["cv"] * after_c[0] + c["cc"] * after_c[1] + c["rare"] * of_rare[0] + c["common"] * of_rare[1] + c["change"] * w["yes"] + (c["pairs"] - c["change"]) * w["no"]
+        two, consonants = c["vv"] + c["vc"] + c["cv"] + c["cc"], c["rare"] + c["common"]
+        u, step = w["usual"], w["yes"] - w["no"]
+        expected = two * letters[0] + consonants * rares[0] + c["pairs"] * (u * w["yes"] + (1 - u) * w["no"])
+        variance = two * (letters[1] - letters[0] ** 2) + consonants * (rares[1] - rares[0] ** 2) + c["pairs"] * u * (1 - u) * step * step
+        z = (got - expected) / F.sqrt(variance)
+        return F.when(z > 0, tail(z)).otherwise(0.5)
+
+    return let(counts, lambda c: let(weights, lambda w: p(c, w)))
+
+
 def tested(token: Column) -> Column:
-    """(n, p) of a token: its length and its p-value."""
+    """(n, p, chance) of a token: its length, its p-values as ordinary text and as uniform draws."""
     digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     base64 = upper + lower + digits + "+/"
     is_hex, is_32 = token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), token.rlike("^(?:[A-Z2-7]+|[a-z]*[2-7][a-z2-7]*)$")
@@ -151,8 +201,9 @@ def tested(token: Column) -> Column:
 
         p_serial = let(sums(values), serial)
         choices = F.when(s["vowel"] > 0, 2).otherwise(1)
-        p = F.least(F.lit(1.0), 4 * choices * F.least(p_class, p_same, p_runs, p_serial))
-        return F.struct(n.alias("n"), F.when(n >= 8, p).otherwise(0.0).alias("p"))
+        chance = F.least(F.lit(1.0), 4 * choices * F.least(p_class, p_same, p_runs, p_serial))
+        p = ordinary(token, turn, s["upper"] > 0)
+        return F.struct(F.length(token).alias("n"), F.when(n >= 8, p).otherwise(1.0).alias("p"), F.when(n >= 8, chance).otherwise(0.0).alias("chance"))
 
     return let(setting, battery)
 
@@ -166,39 +217,40 @@ def bin_of(p: Column, battery: Battery) -> Column:
     return F.least(F.lit(battery.bins), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int"))
 
 
-def candidates(text: Column, battery: Battery) -> Column:
-    """Runs that may be secrets, with their test results; pure hex and access keys are the patterns' own."""
-    runs = F.filter(matches(text, battery.run), lambda x: ~x["value"].rlike("^(?:[0-9a-f]+$|AKIA)"))
+def candidates(text: Column, base: Column, battery: Battery) -> Column:
+    """Runs that may be secrets and that no span of base touches, with their test results."""
+    runs = F.filter(matches(text, battery.run), lambda x: ~x["value"].rlike("^[0-9a-f]+$") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), tested(x["value"]).alias("t")))
 
 
-def cutoffs(docs: DataFrame, battery: Battery, text: str = "text") -> dict[int, int]:
-    """Band to the least bin that Benjamini-Hochberg rejects, from the p-values of every candidate; one row a band comes to the driver."""
+def cutoffs(runs: DataFrame, battery: Battery) -> dict[int, int]:
+    """Band to the least bin that Benjamini-Hochberg takes for secrets, from the p-values of every candidate (__runs); one row a band comes to the driver."""
     from pyspark.sql import Window
 
-    body = text_of(f"`{text}`")
-    values = F.filter(F.regexp_extract_all(body, F.lit(battery.run), F.lit(1)), lambda x: ~x.rlike("^(?:[0-9a-f]+$|AKIA)"))
-    each = docs.select(F.explode(F.when(body.rlike(battery.run), values).otherwise(F.array().cast("array<string>"))).alias("__token"))
-    t = each.select(tested(F.col("__token")).alias("t")).select(band(F.col("t.n")).alias("band"), bin_of(F.col("t.p"), battery).alias("bin"))
-    counts = cut(t.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")))
+    each = runs.select(F.explode("__runs.t").alias("t")).select(band(F.col("t.n")).alias("band"), bin_of(F.col("t.p"), battery).alias("bin"))
+    counts = cut(each.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")))
     up = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.select("band", "bin", F.sum("n").over(up).alias("rank"), F.sum("n").over(Window.partitionBy("band")).alias("all"))
     passed = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 10) <= battery.fdr * F.col("rank") / F.col("all"))
     return {r[0]: r[1] for r in passed.groupBy("band").agg(F.min("bin")).collect()}
 
 
-def scan(docs: DataFrame, battery: Battery | None = None, text: str = "text") -> DataFrame:
-    """docs with __base and __spans (all, by start and kind): arrays of (start, kind_no, kind, end)."""
+def scan(docs: DataFrame, battery: Battery | None = None, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' columns (or those of keep) with __base and __spans (all, by start and kind): arrays of (start, kind_no, kind, end).
+
+    The texts are read once: spans and tested candidates are written in the shared folder, and the corpus-wide cut-offs are applied to them.
+    """
     battery = battery or Battery()
-    limits = cutoffs(docs, battery, text)
-    table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<int,int>")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("__base", "__spans", "__runs") and (keep is None or c in keep)]
     body = text_of(f"`{text}`")
-    one = docs.select(*own, base_spans(body).cast(SPAN).alias("__base"), candidates(body, battery).alias("__runs"))
-    random = F.filter(
-        "__runs",
-        lambda x: (bin_of(x["t"]["p"], battery) < F.coalesce(F.try_element_at(table, band(x["t"]["n"])), F.lit(battery.bins + 1))) & ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    based = docs.select(*own, F.when(body.rlike(battery.run), body).alias("__body"), base_spans(body).cast(SPAN).alias("__base"))
+    none = F.array().cast("array<struct<start: int, end: int, t: struct<n: int, p: double, chance: double>>>")
+    runs = F.when(F.col("__body").isNotNull(), candidates(F.col("__body"), F.col("__base"), battery)).otherwise(none)
+    one = written(based.select(*own, "__base", runs.alias("__runs")), "secrets")
+    limits = cutoffs(one, battery)
+    table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<int,int>")
+    found = lambda t: (bin_of(t["p"], battery) >= F.coalesce(F.try_element_at(table, band(t["n"])), F.lit(battery.bins + 1))) & (t["chance"] >= battery.level)
+    random = F.filter("__runs", lambda x: found(x["t"]))
     return one.select(*own, "__base", F.sort_array(F.concat("__base", spans_of(random, "random").cast(SPAN))).alias("__spans"))
 
 
