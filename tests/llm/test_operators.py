@@ -711,38 +711,86 @@ def test_warc(spark, sf_dir):
     body = "<p>same é\r\n\r\n</p>" * 20
     more = [(1000 + i, f"http://a b/{i}", body) for i in range(5)] + [(2000, None, None), (2001, "u", ""), (2002, "u", "short"), (2003, "v", "short"), (1003, "http://a b/3", body)]
     pages = pages.unionByName(spark.createDataFrame(more, pages.schema))
-    arcs = warc.arc_of(pages)
-    got = warc.read(spark, warc.write(warc.convert(arcs, warc.revisits(arcs)))).collect()
+    got = warc.resolved(warc.read(spark, warc.write(warc.convert(warc.arc_of(pages))))).collect()
+    info = {r.record_id for r in got if r.record_type == "warcinfo"}
+    got = [r for r in got if r.record_type != "warcinfo"]
     payload = {r.page_id: (r.html or "").encode() for r in pages.collect()}
     first = {}
     for k in sorted(payload):
         first.setdefault(payload[k], k)
-    ids = {r.key: r.record_id for r in got}
-    assert len(got) == pages.count()
+    ids = {int(r.http["x-record-key"]): r.record_id for r in got}
+    assert len(got) == pages.count() and info
     for r in got:
-        b = payload[r.key]
-        of = first[b] if len(b) >= 100 and first[b] != r.key else None
-        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(b), hashlib.sha256(b).hexdigest(), "response" if of is None else "revisit", of)
-        assert of is None or r.refers_to_id == ids[of]
-    empty = warc.arc_of(pages.limit(0))
-    assert warc.read(spark, warc.write(warc.convert(empty, warc.revisits(empty)))).count() == 0
+        key = int(r.http["x-record-key"])
+        b = payload[key]
+        of = first[b] if len(b) >= 100 and first[b] != key else None
+        size = r.payload_bytes if of is None else r["__of"].payload_bytes
+        assert (size, r.payload_digest, r.record_type) == (len(b), hashlib.sha256(b).hexdigest(), "response" if of is None else "revisit")
+        assert (r.refers_to_id, r["__of"] and int(r["__of"].key)) == ((None, None) if of is None else (ids[of], of))
+    assert warc.read(spark, warc.write(warc.convert(warc.arc_of(pages.limit(0))))).count() == 0
+
+
+def version_block(v):
+    d = f"{v} 0 x\n{' '.join(warc.FIELDS[v])}\n"
+    return f"filedesc://f 0.0.0.0 20200102030405 text/plain {'200 - - 0 f ' if v == 2 else ''}{len(d)}\n{d}"
 
 
 def test_arc_versions():
-    block = lambda v: (d := f"{v} 0 x\n{' '.join(warc.FIELDS[v])}\n", f"filedesc://f 0.0.0.0 20200102030405 text/plain {'200 - - 0 f ' if v == 2 else ''}{len(d)}\n{d}")[1]
-    one = block(1) + "http://a/x y 1.2.3.4 20200102030405 text/html 5\nabcde\nhttp://b 1.2.3.4 20200102 text/html 0\n\n"
+    one = version_block(1) + "http://a/x y 1.2.3.4 20200102030405 text/html 5\nabcde\nhttp://b 1.2.3.4 20200102 text/html 0\n\n"
     got = list(warc.parse_arc(one.encode()))
-    assert [(f["URL"], c) for f, c in got] == [("http://a/x y", b"abcde"), ("http://b", b"")]
-    two = block(2) + "http://a 1.2.3.4 20200102030405 text/html 200 sum - 17 f 3\nab\n\n"
-    assert [(f["Result-code"], c) for f, c in warc.parse_arc(two.encode())] == [("200", b"ab\n")]
-    named, _ = warc.to_warc(got[0][0], b"HTTP/1.1 200 OK\r\n\r\nhi", None)
-    assert named["WARC-Date"] == "2020-01-02T03:04:05Z" and named["WARC-Payload-Digest"] == f"sha256:{hashlib.sha256(b'hi').hexdigest()}"
+    assert got[0][0]["Version"] == "1" and [(f["URL"], c) for f, c in got[1:]] == [("http://a/x y", b"abcde"), ("http://b", b"")]
+    two = version_block(2) + "http://a 1.2.3.4 20200102030405 text/html 200 sum - 17 f 3\nab\n\n"
+    assert [(f["Result-code"], c) for f, c in list(warc.parse_arc(two.encode()))[1:]] == [("200", b"ab\n")]
+    answer = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    row = list(warc.parsed(version_block(1).encode() + f"http://a 1.2.3.4 20200102030405 text/html {len(answer)}\n".encode() + answer))[1]
+    (named, block), = warc.parse_warc(warc.warc_record(row, None) + b"\r\n\r\n")
+    assert named["WARC-Date"] == "2020-01-02T03:04:05Z" and named["WARC-Payload-Digest"] == f"sha256:{hashlib.sha256(b'hi').hexdigest()}" and block == answer
     for bad in (b"x y z\n", one.replace("text/html 5", "text/html 5000").encode()):
         with pytest.raises((ValueError, IndexError)):
             list(warc.parse_arc(bad))
     assert list(warc.parse_arc(b"")) == []
 
 
+def test_archives(spark, tmp_path):
+    """Archives of several records: bytes that aren't UTF-8, Latin-1 header lines, DNS answers, copies fetched on other dates, long payloads."""
+    import gzip
+
+    def arc(*found):
+        out = version_block(1).encode()
+        for url, date, media, content in found:
+            out += url + f" 1.2.3.4 {date} {media} {len(content)}\n".encode() + content + b"\n"
+        return out
+
+    http = lambda payload: b"HTTP/1.1 200 OK\r\nBad line\r\nServer: caf\xe9\r\n\r\n" + payload
+    odd, copy, long = b"\xff\xfe\x00\r\n\r\nWARC/1.1\r\n" * 9, b"copy \xe9 " * 50, bytes(range(256)) * 40_000
+    one = arc((b"http://a/caf\xe9", "20200101", "text/html", http(odd)), (b"dns:a", "20200102", "text/dns", b"20200102\na. 1 IN A 1.2.3.4\n"), (b"http://b", "20200103", "text/html", http(copy)))
+    two = arc((b"http://c", "20210405060708", "text/html", http(copy)), (b"http://d", "20210405060709", "text/html", http(long)), (b"http://b", "20200103", "text/html", http(copy)))
+    arcs = spark.createDataFrame([(one, "x"), (two, "x"), (None, "x")], "arc binary, value string")
+    path = warc.write(warc.convert(arcs), f"{tmp_path}/w")
+    got = warc.resolved(warc.read(spark, path)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.target].append(r)
+    assert collections.Counter(r.record_type for r in got) == {"warcinfo": 2, "response": 4, "resource": 1, "revisit": 1}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    a, b, c, d = by["http://a/café"][0], by["http://b"][0], by["http://c"][0], by["http://d"][0]
+    assert (a.payload_bytes, a.payload_digest, a.http["server"]) == (len(odd), sha(odd), "café")
+    assert (d.payload_bytes, d.payload_digest, d.date) == (len(long), sha(long), "2021-04-05T06:07:09Z")
+    assert by["dns:a"][0].record_type == "resource" and by["dns:a"][0].http is None
+    assert (c.record_type, c.refers_to_id, c["__of"].payload_bytes, c.payload_digest) == ("revisit", b.record_id, len(copy), sha(copy))
+    assert len(by["http://b"]) == 2 and {r.record_id for r in by["http://b"]} == {b.record_id}
+    named = [n for f in (tmp_path / "w").glob("part-*") for n, _ in warc.parse_warc(f.read_bytes())]
+    refers = next(n for n in named if n["WARC-Type"] == "revisit")
+    assert (refers["WARC-Refers-To-Target-URI"], refers["WARC-Refers-To-Date"]) == ("http://b", "2020-01-03T00:00:00Z")
+    info = {n["WARC-Record-ID"] for n in named if n["WARC-Type"] == "warcinfo"}
+    assert len(info) == 1 and all(n["WARC-Warcinfo-ID"] in info for n in named if n["WARC-Type"] != "warcinfo")
+    # a foreign archive: packed record by record, without keys or SHA-256 digests
+    foreign = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nok%d\n\r\n\r\n" % (k, k) for k in (1, 2)]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, foreign)))
+    assert sorted((r.record_id, r.payload_bytes, r.payload_digest) for r in warc.read(spark, f"{tmp_path}/f", "*.warc.gz").collect()) == [("<urn:x:1>", 4, "sha1:ABC"), ("<urn:x:2>", 4, "sha1:ABC")]
+
+
 # --- BPE ---------------------------------------------------------------------------------------
 
 

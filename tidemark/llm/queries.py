@@ -69,8 +69,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = warc.arc_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    path = warc.write(warc.convert(arcs, warc.revisits(arcs)))
-    return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.resolved(cut(warc.read(spark, warc.write(warc.convert(arcs, info=False)))))
+    return found.select(
+        F.col("http")["x-record-key"].cast("long").alias("page_id"),
+        F.coalesce("__of.payload_bytes", "payload_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.col("__of.key").cast("long").alias("refers_to"),
+    )
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
