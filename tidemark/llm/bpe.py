@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_of
 
 #: Chunks in a worker's cache before the older half goes, chunk length beyond which none is kept, slots of the arc table (a power of two).
-CACHE, LONG, SLOTS = 250_000, 64, 1 << 20
+CACHE, LONG, SLOTS = 150_000, 64, 1 << 20
 #: Words of up to this many bytes are encoded together, longer ones one at a time.
 TOGETHER = 96
 NEVER = 1 << 30

@@ -137,8 +137,8 @@ def anchored(distinct: DataFrame, words: list[str], carried: list[str]) -> DataF
         table = np.array([f + [-1] * (16 - len(f)) for f in flips], np.int64)
         for batch in batches:
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-            for at in range(0, batch.num_rows, 10_000):
-                own = [c[at : at + 10_000] for c in cols]
+            for at in range(0, batch.num_rows, 1000):
+                own = [c[at : at + 1000] for c in cols]
                 anchors, who = [], []
                 for half in range(2 * len(words)):
                     x = own[half // 2].view(np.uint64) >> np.uint64(32 * (half % 2)) & low
@@ -253,7 +253,9 @@ def linked(placed: DataFrame, key: int, compared: list[int], distance: int, near
 
 def met(distinct: DataFrame, words: list[str], carried: list[str], block: int) -> DataFrame:
     """(anchor, p, q, carried), grouped and sorted: what meets at an anchor, those of more than `block` rows in pairs of blocks."""
-    pairs = anchored(distinct, words, carried)
+    # a row becomes up to 32 for each word, so few rows are dealt to all tasks first
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), carried[0])
+    pairs = anchored(dealt, words, carried)
     large = pairs.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("__anchor"), F.ceil(F.col("count") / block).cast("int").alias("__n"))
     split = pairs.join(small(large), F.col("anchor") == F.col("__anchor"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     part = F.pmod(F.xxhash64(carried[0]), F.col("__n")).cast("long")
