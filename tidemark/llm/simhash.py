@@ -14,8 +14,8 @@ Components come from alternating stars over the forest, cut by checkpoints.
 `near_texts` finds what the 64 bits of three-word shingles can't: documents whose sets of five-word shingles have a Jaccard similarity of 0.8
 or more. It nominates with a wide SimHash of 256 bits over pairs of neighbouring words, whose eight halves of words each have
 their anchors; two fingerprints share one if any half has 2 differing bits or fewer, as then some anchor is within distance 2 of both.
-What is nominated is decided by the exact similarity of the whole texts. Within an anchor of more than eight texts the nominations are a least
-spanning forest by distance, each text's four nearest and those near the most central text, so that a group of n near copies costs some n comparisons of texts, not n * n.
+What is nominated is decided by the exact similarity of the whole texts. Within an anchor of more than eight texts the nominations are each text
+with its nearest and with the most central one, so that a group of n near copies costs some n comparisons of texts, not n * n.
 
 Free style: fingerprints and comparisons in Arrow batches with numpy; the rest are DataFrames.
 
@@ -35,8 +35,8 @@ from tidemark.llm.common import cut, small, text_of
 
 #: Bits at which fingerprints still link, and fingerprints that an anchor's block holds.
 DISTANCE, BLOCK = 3, 4096
-#: Of near_texts: words of a shingle and similarity that decide; words of a feature, 64-bit words of the wide fingerprint, and bits of the first three of them at which texts are still compared, and neighbours that a row has in a large group.
-SHINGLE, SIMILARITY, FEATURE, WIDE, NOMINATED, NEIGHBOURS = 5, 0.8, 2, 4, 42, 4
+#: Of near_texts: words of a shingle and similarity that decide; words of a feature, 64-bit words of the wide fingerprint, and bits of the first three of them at which texts are still compared.
+SHINGLE, SIMILARITY, FEATURE, WIDE, NOMINATED = 5, 0.8, 2, 4, 42
 
 
 def ones_of(rows: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def linked(placed: DataFrame, key: int, compared: list[int], distance: int, near
     """Rows of longs (anchor, p, q, carried), grouped by the first three, to links (a, b) of keys, a < b.
 
     Rows link at `distance` or fewer differing bits in the columns compared. Groups of up to eight give all their links, larger ones a spanning
-    forest of them, with `nearest` one of least distances, each row's nearest and the links of the most central row, from which copies may stem.
+    forest of them or, with `nearest`, each row's nearest and the links of the most central row, from which copies may stem.
     """
     import pyarrow as pa
 
@@ -181,31 +181,20 @@ def linked(placed: DataFrame, key: int, compared: list[int], distance: int, near
                     rest = rest[~near]
             return (np.concatenate(a), np.concatenate(b)) if a else (rest, rest)
 
-        def least_forest(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            """The same by least distances, as the nearest row outside the trees comes next, with every row's nearest and the most central row."""
-            n, a, b = len(cols[0]), [], []
-            done = np.iinfo(np.int16).max
-            best, by, total = np.full(n, done - 1, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for _ in range(n):
-                v = int(best.argmin())
+        def neighbours(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """Every row with its nearest and with the most central row, if within the distance."""
+            n = len(cols[0])
+            near, least, total = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for v in range(n):
                 d = far(cols, slice(None), v)
-                if best[v] <= distance:
-                    a.append(by[v : v + 1])
-                    b.append(np.array([v]))
-                closer = (d < best) & (best != done)
-                best[closer], by[closer] = d[closer], v
                 total += np.minimum(d, distance + 1)
-                best[v] = d[v] = done
-                near = np.argpartition(d, NEIGHBOURS)[:NEIGHBOURS]
-                near = near[d[near] <= distance]
-                a.append(near)
-                b.append(np.full(len(near), v))
+                d[v] = np.iinfo(np.int16).max
+                near[v] = d.argmin()
+                least[v] = d[near[v]]
             v = int(total.argmin())
-            near = np.flatnonzero(far(cols, slice(None), v) <= distance)
-            near = near[near != v]
-            a.append(near)
-            b.append(np.full(len(near), v))
-            return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+            rows, central = np.flatnonzero(least <= distance), np.flatnonzero(far(cols, slice(None), v) <= distance)
+            central = central[central != v]
+            return np.concatenate([rows, central]), np.concatenate([near[rows], np.full(len(central), v)])
 
         def links(groups: np.ndarray, keys: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -220,7 +209,7 @@ def linked(placed: DataFrame, key: int, compared: list[int], distance: int, near
                 a.append(i)
                 b.append(i + shift)
             for at, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-                u, v = (least_forest if nearest else forest)([c[at : at + n] for c in cols])
+                u, v = (neighbours if nearest else forest)([c[at : at + n] for c in cols])
                 a.append(at + u)
                 b.append(at + v)
             a, b = (keys[np.concatenate(z).astype(np.int64)] if z else keys[:0] for z in (a, b))
