@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import cut, new_path
 
 #: The header line of each ARC version.
 FIELDS = {
@@ -297,5 +297,6 @@ def read(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
 def resolved(found: DataFrame) -> DataFrame:
     """The records that read gives, with __of: the record that a revisit names (its id, HTTP fields and payload size), null for others. Copies of a record stand for one."""
     first = found.filter("record_type = 'response'").groupBy("record_id").agg(F.min("payload_bytes").alias("n"), F.min(F.col("http")["x-record-key"]).alias("key"))
-    first = first.select(F.col("record_id").alias("__record"), F.struct(F.col("record_id").alias("id"), "key", F.col("n").alias("payload_bytes")).alias("__of"))
+    # cut, so that the join reads two plain exchanges and Spark can split a record that many others revisit
+    first = cut(first.select(F.col("record_id").alias("__record"), F.struct(F.col("record_id").alias("id"), "key", F.col("n").alias("payload_bytes")).alias("__of")))
     return found.join(first, F.col("refers_to_id") == F.col("__record"), "left").drop("__record")
