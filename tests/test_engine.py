@@ -241,6 +241,8 @@ def test_names_and_specs(db):
         TableSpec("t", SCHEMA, TAGS)
     with pytest.raises(errors.TableError):
         TableSpec("t", SCHEMA, NET)
+    with pytest.raises(errors.ReservedColumn):
+        TableSpec("t", type(SCHEMA)([*SCHEMA.fields, type(SCHEMA.fields[0])("_op", SCHEMA.fields[0].dataType)]), ID)
     db.create_table(TableSpec("a", SCHEMA, ID))
     with pytest.raises(errors.DuplicateTable):
         db.create_table(TableSpec("a", SCHEMA, ID))
@@ -255,9 +257,11 @@ def test_lpm_ports(spark):
     assert ids(lpm.prefix(live, x, x.query(0x1234, 8))) == [30, 10, 20]
     assert ids(lpm.list_(live, x, x.query(0x1200, 4))) == [30]
     assert ids(lpm.list_(live, x, x.query(0xFF00, 8))) == []
-    probes = spark.createDataFrame([(0x1234,), (0x12FF,), (0x0001,)], "p long")
+    probes = spark.createDataFrame([(0x1234,), (0x12FF,), (0x0001,), (0x12FF,), (None,)], "p long")
     got = lpm.probe(probes, F.lpad(F.bin("p"), 16, "0"), lpm.entries(live.filter("id <> 20"), x), ["id"]).collect()
-    assert {r["p"]: r["match"]["id"] for r in got} == {0x1234: 10, 0x12FF: 30}
+    assert sorted(((r["p"], r["match"] and r["match"]["id"]) for r in got), key=str) == sorted([(0x1234, 10), (0x12FF, 30), (0x12FF, 30), (0x0001, None), (None, None)], key=str)
+    none = lpm.probe(probes, F.lpad(F.bin("p"), 16, "0"), lpm.entries(live.limit(0), x), ["id"]).collect()
+    assert len(none) == 5 and all(r["match"] is None for r in none)
 
 
 def test_encoders(spark):

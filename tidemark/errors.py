@@ -35,6 +35,10 @@ class ReservedPrefix(TableError):
     pass
 
 
+class ReservedColumn(TableError):
+    """A schema uses a name that the engine keeps for itself."""
+
+
 class UnknownIndex(TableError):
     pass
 

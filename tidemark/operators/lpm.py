@@ -67,14 +67,17 @@ def probe(probes: DataFrame, bits: Column, stored: DataFrame, keep: list[str]) -
     """Longest match for many full-width keys at once: probes with `match`, a struct of stored's columns named in keep.
 
     stored has BITS and LEN. A key meets only prefixes that equal it cut to one of the lengths that occur, so this is an equi-join
-    over a small explode, never a comparison of all pairs. Prefixes are broadcast only if they are few.
+    over a small explode, never a comparison of all pairs. Prefixes are broadcast only if they are few. Every probe comes back as
+    often as it is there; match is null where no prefix covers it, where its bits are null, or where nothing is stored. Of equal prefixes the
+    greatest struct is taken.
     """
-    lengths = [r[0] for r in stored.select(LEN).distinct().collect()]  # no more than the key's width
-    cols = [c for c in probes.columns]
-    keyed = probes.withColumn("__bits", bits).withColumn("__row", F.struct(*cols))
-    cut = keyed.select("__row", F.explode(F.array(*[F.substring("__bits", 1, n) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")).alias("__cut"))
+    lengths = sorted(r[0] for r in stored.select(LEN).distinct().collect())  # no more than the key's width
     few = stored.select(F.col(BITS).alias("__stored"), F.col(LEN).alias("__len"), F.struct(*keep).alias("__match"))
     few = F.broadcast(few) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
+    # one answer for each distinct key, so that keys that repeat cost one row in the join
+    keys = probes.select(bits.alias("__bits")).filter(F.col("__bits").isNotNull()).distinct()
+    cut = keys.select("__bits", F.explode(F.array(*[F.substring("__bits", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("__cut"))
     hit = cut.join(few, F.col("__cut") == F.col("__stored"))
-    best = hit.groupBy("__row").agg(F.max_by("__match", "__len").alias("match"))
-    return best.select("__row.*", "match")
+    best = hit.groupBy(F.col("__bits").alias("__key")).agg(F.max_by("__match", F.struct("__len", "__match")).alias("match"))
+    own = [F.col(f"`{c}`") for c in probes.columns if c != "match"]
+    return probes.withColumn("__bits", bits).join(best, F.col("__bits") == F.col("__key"), "left").select(*own, "match")

@@ -27,6 +27,8 @@ from tidemark.streaming.watch import Delta, Watch, Watches
 
 #: Rows of an overlay before it is folded into the version's frame.
 FOLD = 2000
+#: Columns that the engine adds to a table's own.
+RESERVED = frozenset(("_pk", "_revision", "_seq", "_op"))
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class TableSpec:
 
     def __post_init__(self) -> None:
         check_name(self.name)
+        if taken := sorted(RESERVED & set(self.schema.fieldNames())):
+            raise errors.ReservedColumn(f"columns {taken} are the engine's own", self.name)
         check_indexes(self.name, self.primary, self.secondary)
 
     @property

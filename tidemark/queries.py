@@ -257,6 +257,25 @@ def lpm_get_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpm.probe(probes, bits, stored, ["s_suppkey", "len"]).select("c_custkey", "match.s_suppkey", "match.len")
 
 
+@query(
+    NETWORKS
+    + f""", c AS (SELECT c_custkey, CAST({ADDRESS.format('c_custkey')} AS BIGINT) AS a FROM customer
+        UNION ALL SELECT c_custkey, CAST({ADDRESS.format('c_custkey')} AS BIGINT) AS a FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL SELECT c_custkey, CAST(16909060 AS BIGINT) AS a FROM customer WHERE c_custkey % 5 = 0
+        UNION ALL SELECT c_custkey, CAST(NULL AS BIGINT) AS a FROM customer WHERE c_custkey % 7 = 0), k AS (SELECT row_number() OVER () AS id, * FROM c)
+    SELECT any_value(c_custkey) AS c_custkey, max(a) AS a, arg_max(s_suppkey, len) AS s_suppkey, CAST(max(len) AS INTEGER) AS len
+    FROM k LEFT JOIN u ON k.a - k.a % CAST(pow(2, 32 - len) AS BIGINT) = net GROUP BY id"""
+)
+def lpm_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest network of addresses that repeat, that no network covers, or that are null: every probe has its row."""
+    stored = lpm.entries(networks(spark, sf_dir), CIDR)
+    one = rows(spark, sf_dir, "customer").select("c_custkey", address("c_custkey").cast("bigint").alias("a"))
+    more = [one.filter("c_custkey % 2 = 0"), one.filter("c_custkey % 5 = 0").withColumn("a", F.lit(16909060).cast("bigint")), one.filter("c_custkey % 7 = 0").withColumn("a", F.lit(None).cast("bigint"))]
+    probes = one.unionByName(more[0]).unionByName(more[1]).unionByName(more[2])
+    bits = F.concat(F.lit("0" * 80 + "1" * 16), keys.ipv4_bits(F.col("a")))
+    return lpm.probe(probes, bits, stored, ["s_suppkey", "len"]).select("c_custkey", "a", "match.s_suppkey", "match.len")
+
+
 @query(NETWORKS + " SELECT s_suppkey, net, len FROM u WHERE net >= 167772160 AND net < 168820736 AND len >= 12")
 def lpm_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpm.prefix(networks(spark, sf_dir), CIDR, CIDR.query("10.0.0.0/12")).select("s_suppkey", "net", "len")
