@@ -291,3 +291,30 @@ def test_pushdown(spark, sf_dir):
     x = Index("id", "o_orderkey", keys.uint64, unique=True)
     plan = access.lower_bound(orders, x, x.query(1000))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(o_orderkey,1000)" in plan
+
+
+def test_limiter():
+    from tidemark.operators.reconcile import Limiter
+
+    x = Limiter(10.0, 5.0)
+    assert [x.take(0.0, 3), x.take(0.0, 3), x.take(0.0, 3)] == [3, 2, 0]
+    assert [x.take(0.25, 9), x.take(100.0, 9), x.take(50.0, 9)] == [2, 5, 0]
+    x.back(1)
+    assert x.take(100.0, 9) == 1 and 0 < x.wait() <= 0.1
+
+
+def test_prefetch(spark):
+    """Rows read at once are those read one by one, also after writes in the transaction."""
+    db = Engine(spark)
+    t = db.create_table(TableSpec("t", SCHEMA, ID))
+    names = SCHEMA.fieldNames()
+    rows = spark.createDataFrame([tuple(k if n == names[0] else None for n in names) for k in range(20)], SCHEMA)
+    with db.write(t) as w:
+        w.insert_frame(t, rows, order_by=names[0])
+    with db.write(t) as w:
+        keys_ = [t.spec.pk({**dict.fromkeys(names), names[0]: k}) for k in (3, 5, 99, 3)]
+        alone = [w._old(t, w.versions["t"], k) for k in keys_]
+        w.prefetch(t, keys_, at_once=2)
+        assert [w._old(t, w.versions["t"], k) for k in keys_] == alone and alone[0][0][names[0]] == 3 and alone[2] is None
+        w.delete(t, alone[0][0])
+        assert w._old(t, w.versions["t"], keys_[0]) is None
