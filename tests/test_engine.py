@@ -10,6 +10,7 @@ from tidemark import errors
 from tidemark.functions import keys
 from tidemark.operators import access, lpm
 from tidemark.operators.index import Index, LPMIndex, by_revision
+from tidemark.plans import commit
 from tidemark.plans.engine import Engine, TableSpec
 from tidemark.streaming.watch import Cancelled, Watch, WatchSet
 
@@ -154,7 +155,7 @@ def test_bulk_equals_sequence(spark, db, fold):
     with db.write(frames, rows) as w:
         w.changes(frames), w.changes(rows)
         keep = w.changes(frames), w.changes(rows)
-    for part in (ops[:80], ops[80:]):
+    for part in (ops[:80], ops[80:90], ops[90:95], ops[95:]):
         with db.write(frames, rows) as w:
             w.apply(frames, spark.createDataFrame([(i, n, "delete" if d else "insert") for n, i, d in part], "id long, n long, _op string"), "n")
             for n, i, d in part:
@@ -165,6 +166,74 @@ def test_bulk_equals_sequence(spark, db, fold):
     assert keep
 
 
+def test_layers(spark, db):
+    """A commit writes what it touches; layers of like size are written together; readers see one table."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+    t = db.create_table(TableSpec("layers", schema, ID))
+    with db.write(t) as w:
+        keep = w.changes(t)
+        w.insert_frame(t, spark.range(20000).withColumn("n", F.lit(0)), "id")
+    first = db.current(t).layers[0]
+    for k in range(4):
+        with db.write(t) as w:
+            w.insert_frame(t, spark.range(100 * k, 100 * k + 50).withColumn("n", F.lit(k + 1)), "id")
+            w.delete_frame(t, spark.range(100 * k + 50, 100 * k + 60).withColumn("n", F.lit(None).cast("long")), "id")
+        now = db.current(t)
+        assert now.layers[0] is first and sum(x.count for x in now.layers[1:]) == 60 * (k + 1)
+        assert all(a.count > commit.RATIO * b.count for a, b in zip(now.layers, now.layers[1:], strict=False))
+    r = db.read()
+    assert r.num_objects(t) == 19960 and r.revision(t) == 20240
+    assert {(x["n"], x["count"]) for x in r.frame(t).groupBy("n").count().collect()} == {(0, 19760), (1, 50), (2, 50), (3, 50), (4, 50)}
+    dead = r.graveyard(t).collect()
+    assert sorted(x["id"] for x in dead) == [100 * k + j for k in range(4) for j in range(50, 60)] and {x["n"] for x in dead} == {0}
+    keep.take_all(r)
+    db.gc()
+    assert db.read().graveyard(t).count() == 0 and r.graveyard(t).count() == 40 and db.current(t).layers[0] is first
+    with db.write(t) as w:
+        w.delete_where(t, w.frame(t).filter("id >= 10000"))
+    with db.write(t) as w:
+        w.insert_frame(t, spark.range(10000).withColumn("n", F.lit(9)), "id")
+    now = db.current(t)
+    assert len(now.layers) == 1 and now.layers[0].rows.filter("_op <> 'insert'").count() == 10000
+    assert db.read().num_objects(t) == 10000 and db.read().graveyard(t).count() == 10000
+    keep.close()
+
+
+def test_folded_overlay(spark, db, monkeypatch):
+    """An overlay past its bound becomes a layer, deletions and tracked rows included."""
+    monkeypatch.setattr("tidemark.plans.engine.FOLD", 5)
+    t = db.create_table(TableSpec("folded", T.StructType([T.StructField("id", T.LongType(), False), T.StructField("n", T.LongType(), False)]), ID))
+    with db.write(t) as w:
+        keep = w.changes(t)
+        w.insert_frame(t, spark.range(100).withColumn("n", F.lit(0)), "id")
+    with db.write(t) as w:
+        for k in range(6):
+            w.delete(t, {"id": k})
+        w.insert(t, {"id": 0, "n": 5})
+    v, r = db.current(t), db.read()
+    assert not v.over and not v.grave and len(v.layers) == 2
+    assert r.num_objects(t) == 95 and sorted(ids(r.graveyard(t))) == [1, 2, 3, 4, 5] and r.revision(t) == 107
+    assert {x["n"] for x in r.frame(t).filter("id = 0").collect()} == {5}
+    keep.close()
+
+
+def test_guard_frame(spark, db):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+    t = db.create_table(TableSpec("guarded", schema, ID))
+    with db.write(t) as w:
+        w.insert_frame(t, spark.range(4).withColumn("n", F.lit(0)), "id")
+    ops = [(0, 7, "insert", 1), (1, 7, "insert", 1), (2, None, "delete", 3), (3, None, "delete", 9), (8, 7, "insert", 5), (9, 7, "insert", 0), (10, None, "delete", 0), (11, 7, "insert", None)]
+    with db.write(t) as w:
+        found = w.guard_frame(t, spark.createDataFrame(ops, "id long, n long, _op string, _expected long"), "id")
+    assert {x["id"]: (x["_result"], x["_had_old"]) for x in found.collect()} == {
+        0: ("ok", True), 1: ("conflict", True), 2: ("ok", True), 3: ("conflict", True), 8: ("missing", False), 9: ("ok", False), 10: ("ok", False), 11: ("missing", False)}
+    assert sorted((x["id"], x["n"], x["_revision"]) for x in db.read().frame(t).collect()) == [(0, 7, 5), (1, 0, 2), (3, 0, 4), (9, 7, 7)]
+    with pytest.raises(errors.RevisionNotEqual), db.write(t) as w:
+        w.compare_and_delete(t, 9, {"id": 1})
+    with db.write(t) as w:
+        assert w.compare_and_delete(t, 0, {"id": 1})[1]
+
+
 def test_delete_all(spark, db):
     schema = T.StructType([T.StructField("id", T.LongType())])
     t = db.create_table(TableSpec("all", schema, ID))

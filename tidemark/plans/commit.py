@@ -1,4 +1,4 @@
-"""Bulk commits as plans: revisions by a distributed running count, last writer by key, graveyard.
+"""Bulk commits as plans: revisions by a distributed running count, last writer by key, layers of what commits touched.
 
 An operations frame has the object's columns, `_op` ("insert" or "delete"), `_seq` (its order, a long) and `_pk`.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,21 +62,67 @@ def counted_up(ranged: DataFrame, order: str, into: str, start: int) -> tuple[Da
     return out.drop("__range", "__counted", "__k", "__offset"), total
 
 
-def inserted(base: DataFrame | None, graveyard: DataFrame | None, ops: DataFrame, columns: list[str], revision: int, name: str = "ops") -> tuple[DataFrame, DataFrame | None, int]:
+class Layer(NamedTuple):
+    """What one or more commits wrote: a row for each key that they touched (columns, _pk, _revision, `_op`), and their number.
+
+    `_op` is insert, delete (the row is the one deleted, for the graveyard) or gone (deleted while nobody tracked deletions).
+    """
+
+    rows: DataFrame
+    count: int
+
+
+def layer(rows: DataFrame, columns: list[str], name: str) -> Layer:
+    """rows as a layer, written in order of the key."""
+    out = written(rows.select(*columns, PK, REV, "_op"), name, PK)
+    return Layer(out, out.count())
+
+
+def stacked(layers: Sequence[Layer], columns: list[str], ops: tuple[str, ...]) -> DataFrame:
+    """The newest row of each key over layers, oldest first, where its operation is one of ops.
+
+    Each layer is compared once with the keys of all newer ones, so the oldest and largest is shuffled at most once, and filters on columns reach every scan.
+    """
+    out, newer = None, None
+    for x in reversed(layers):
+        rows = x.rows.filter(F.col("_op").isin(*ops))
+        rows = rows if newer is None else rows.join(newer, PK, "left_anti")
+        rows = rows.select(*columns, PK, REV, "_op")
+        out = rows if out is None else rows.unionByName(out)
+        newer = x.rows.select(PK) if newer is None else newer.unionByName(x.rows.select(PK))
+    return out
+
+
+#: A layer is written together with all later ones once it has no more than so many times their rows.
+RATIO = 2
+
+
+def compact(layers: tuple[Layer, ...], columns: list[str], low: int, name: str) -> tuple[Layer, ...]:
+    """Layers of which each has over RATIO times the rows of all later ones: the newest are written together as far as needed, older ones stay as they are.
+
+    So a commit writes what it touches, and a row is rewritten a logarithmic number of times. Deletions stay in a layer while older layers may hold their keys;
+    in the oldest, those that every tracker has seen (up to the revision low) go.
+    """
+    later = [sum(y.count for y in layers[k + 1 :]) for k in range(len(layers))]
+    first = next((k for k, x in enumerate(layers[:-1]) if x.count <= RATIO * later[k]), None)
+    if first is None:
+        return layers
+    kept = stacked(layers[first:], columns, ("insert", "delete", "gone"))
+    if not first:
+        kept = kept.filter((F.col("_op") == "insert") | (F.col("_op") == "delete") & (F.col(REV) > low))
+    return (*layers[:first], layer(kept, columns, name))
+
+
+def inserted(ops: DataFrame, columns: list[str], revision: int, name: str = "ops") -> tuple[Layer, int]:
     """merged for inserts alone: each has an effect, so neither the rows that are there nor a key's earlier operations are looked up."""
     counted, top = numbered(ops.drop("_op"), "_seq", F.lit(True), REV, revision, name)
-    row = F.struct(*columns, PK, REV)
     # the last writer of a key, by a partial aggregation, so that a hot key isn't gathered
-    final = counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(row, REV).alias("__row")).select("__row.*")
-    if base is None:
-        return final, graveyard, top
-    final = written(final, name)
-    live = base.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(final)
-    return live, graveyard if graveyard is None else graveyard.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV), top
+    final = counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(F.struct(*columns, PK, REV), REV).alias("__row")).select("__row.*")
+    return layer(final.withColumn("_op", F.lit("insert")), columns, name), top
 
 
-def merged(base: DataFrame, graveyard: DataFrame, ops: DataFrame, columns: list[str], revision: int, tracked: bool, name: str = "ops") -> tuple[DataFrame, DataFrame, int]:
-    """The live rows, graveyard and revision after ops: insert replaces, delete of what isn't there has no effect and no revision.
+def merged(base: DataFrame, ops: DataFrame, columns: list[str], revision: int, tracked: bool, name: str = "ops") -> tuple[Layer, int]:
+    """The layer and revision of ops over the live rows: insert replaces, delete of what isn't there has no effect and no revision.
 
     Whether a deletion has an effect depends on the key's operation before it. That is looked up within ranges of the order, and across them from one row
     for each key and range, so that a key with a large share of all operations is spread over the ranges.
@@ -96,15 +144,15 @@ def merged(base: DataFrame, graveyard: DataFrame, ops: DataFrame, columns: list[
     prior = F.coalesce("__near", "__far") if tracked else F.lit(None).cast("string")
     marked = written(known.filter(effective).withColumn("__prior", prior).withColumn("__counted", F.lit(1).cast("bigint")).drop("__lag", "__near", "__far", "__there"), name)
     counted, top = counted_up(marked, "_seq", REV, revision)
-    final = written(counted.groupBy(F.col(PK).alias("__pk")).agg(F.max_by(F.struct(*counted.columns), "_seq").alias("__row")).select("__row.*"), name)
-    alive, gone = final.filter("_op = 'insert'"), final.filter("_op = 'delete'")
-    live = base.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV).unionByName(alive.select(*columns, PK, REV))
-    grave = graveyard.join(final.select(PK), PK, "left_anti").select(*columns, PK, REV)
-    if tracked:
-        old = base.select(F.col(PK).alias("__pk"), row.alias("__old"))
-        dead = gone.join(old, F.col(PK) == F.col("__pk"), "left").select(F.coalesce("__prior", "__old").alias("o"), PK, REV).select("o.*", PK, REV)
-        grave = grave.unionByName(dead)
-    return live, grave, top
+    last = F.max_by(F.struct(row.alias("__new"), "_op", REV, "__prior"), "_seq").alias("__row")
+    final = counted.groupBy(PK).agg(last).select(PK, "__row.*")
+    if not tracked:
+        op = F.when(inserts, "insert").otherwise("gone").alias("_op")
+        return layer(final.select("__new.*", PK, REV, op), columns, name), top
+    # a deletion keeps the row that it deleted: of the key's last insert in ops, else the one there
+    old = base.select(F.col(PK).alias("__pk"), row.alias("__old"))
+    kept = F.when(inserts, F.col("__new")).otherwise(F.coalesce("__prior", "__old")).alias("__kept")
+    return layer(final.join(old, F.col(PK) == F.col("__pk"), "left").select(kept, PK, REV, "_op").select("__kept.*", PK, REV, "_op"), columns, name), top
 
 
 #: Merges that may be applied in any grouping, so that partial results combine before the shuffle.

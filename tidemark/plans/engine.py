@@ -1,7 +1,8 @@
 """The engine: immutable table versions behind one reference, snapshots, and atomic transactions over several tables.
 
-A version is a folded DataFrame plus a small overlay of rows changed since (kept on the driver and no larger than FOLD). Single-row operations
-go to the overlay; frames of operations are planned as merges (see commit.py) and written before they are published, so that a failure leaves the old version.
+A version is a stack of written layers, each with what one or more commits touched, plus a small overlay of rows changed since (kept on the driver and no
+larger than FOLD). Single-row operations go to the overlay; frames of operations are planned as merges (see commit.py) and written as a layer before they
+are published, so that a failure leaves the old version. Readers merge the layers; layers of like size are written together.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tidemark.streaming.watch import Delta, Watch, Watches
 
 #: Rows of an overlay before it is folded into the version's frame.
 FOLD = 2000
+#: Layers that a transaction may stack before it writes some together; each commit does so where their sizes ask for it.
+DEEP = 8
 #: Columns that the engine adds to a table's own.
 RESERVED = frozenset(("_pk", "_revision", "_seq", "_op"))
 
@@ -72,9 +75,14 @@ class TableSpec:
 
 @dataclass(frozen=True)
 class Version:
-    """A table at a commit. base and dead are frames with _pk and _revision; over and grave are what changed since: _pk to (row, revision), or none where a base row is gone."""
+    """A table at a commit. base and dead are the live rows and the graveyard of its layers, with _pk and _revision; over and grave are what changed since: _pk to (row, revision), or none where a base row is gone.
+
+    low is the revision up to which deletions have left the graveyard.
+    """
 
     revision: int = 0
+    layers: tuple[commit.Layer, ...] = ()
+    low: int = 0
     base: DataFrame | None = None
     dead: DataFrame | None = None
     over: dict[bytes, tuple[dict, int] | None] = field(default_factory=dict)
@@ -114,6 +122,27 @@ class Table:
         gone = self.engine.spark.createDataFrame([(k,) for k in over], T.StructType([T.StructField(PK, T.BinaryType())]))
         return base.join(F.broadcast(gone), PK, "left_anti").select(*self.spec.columns, PK, REV).unionByName(fresh)
 
+    def stacked(self, v: Version, layers: tuple[commit.Layer, ...]) -> Version:
+        """v with these layers."""
+        rows = lambda op: commit.stacked(layers, self.spec.columns, (op,)).drop("_op") if layers else None
+        dead = rows("delete")
+        return replace(v, layers=layers, base=rows("insert"), dead=dead if dead is None else dead.filter(F.col(REV) > v.low))
+
+    def pushed(self, v: Version, top: commit.Layer) -> Version:
+        """v with one more layer."""
+        layers = (*v.layers, top) if top.count else v.layers
+        return self.stacked(v, commit.compact(layers, self.spec.columns, v.low, self.name) if len(layers) > DEEP else layers)
+
+    def folded(self, v: Version) -> Version:
+        """v with its overlay written as a layer."""
+        if not v.over and not v.grave:
+            return v
+        blank = dict.fromkeys(self.spec.columns)
+        state = {k: (*r, "insert") if r is not None else (*g, "delete") if (g := v.grave.get(k)) is not None else (blank, v.revision, "gone") for k, r in v.over.items()}
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in (*self.full_schema().fields, T.StructField("_op", T.StringType()))])
+        rows = self.engine.spark.createDataFrame([(*(r.get(c) for c in self.spec.columns), k, rev, op) for k, (r, rev, op) in state.items()], schema)
+        return self.pushed(replace(v, over={}, grave={}), commit.layer(rows, self.spec.columns, self.name))
+
     def live(self, v: Version) -> DataFrame:
         return self.combined(v.base, v.over)
 
@@ -318,6 +347,7 @@ class WriteTxn(Reader):
         return self._remove(table, row, None)
 
     def compare_and_delete(self, table: Table, revision: int, row: dict) -> tuple[dict | None, bool]:
+        """Delete if the row there has this revision; 0 doesn't guard."""
         return self._remove(table, row, revision)
 
     def _remove(self, table: Table, row: dict, guard: int | None) -> tuple[dict | None, bool]:
@@ -326,7 +356,7 @@ class WriteTxn(Reader):
         old = self._old(table, v, pk)
         if old is None:
             return None, False
-        if guard is not None and old[1] != guard:
+        if guard and old[1] != guard:
             raise errors.RevisionNotEqual(f"revision is {old[1]}, not {guard}")
         self._put(table, v, pk, None, old)
         return old[0], True
@@ -358,37 +388,40 @@ class WriteTxn(Reader):
 
     def apply(self, table: Table, ops: DataFrame, order_by: str, inserts: bool = False) -> None:
         """A frame of operations (`_op` is insert or delete) in order of a column of unique integers; inserts: all are inserts."""
-        v = self._mine(table)
+        v = table.folded(self._mine(table))
         cols = table.spec.columns
         known = [F.col(f"`{c}`").cast(table.spec.schema[c].dataType).alias(c) if c in ops.columns else F.lit(None).cast(table.spec.schema[c].dataType).alias(c) for c in cols]
         staged = ops.select(*known, "_op", F.col(f"`{order_by}`").cast("bigint").alias("_seq")).withColumn(PK, table.spec.primary.key())
-        grave = table.graveyard(v) if v.dead is not None or v.grave else None
         if inserts:
-            base = table.live(v) if v.base is not None or v.over else None
-            live, grave, rev = commit.inserted(base, grave, staged, cols, v.revision, table.name)
+            top, rev = commit.inserted(staged, cols, v.revision, table.name)
         else:
-            live, grave, rev = commit.merged(table.live(v), table.graveyard(v), staged, cols, v.revision, bool(table.trackers), table.name)
-            grave = grave if table.trackers or v.dead is not None or v.grave else None
-        live = commit.written(live, table.name, PK)
-        grave = None if grave is None else commit.written(grave, f"{table.name}-graveyard", REV)
-        self.versions[table.name] = replace(v, revision=rev, base=live, dead=grave, over={}, grave={})
+            top, rev = commit.merged(table.live(v), staged, cols, v.revision, bool(table.trackers), table.name)
+        self._bulk(table, v, top, rev)
+
+    def _bulk(self, table: Table, v: Version, top: commit.Layer, revision: int) -> None:
+        self.versions[table.name] = replace(table.pushed(v, top), revision=revision)
         self.deltas[table.name].append(Delta(b"", None, None, bulk=True))
 
     def modify_frame(self, table: Table, rows: DataFrame, order_by: str, folds: dict[str, str]) -> None:
         """Modify in bulk with merges that combine: columns by their fold (sum, max, min), others by the last value. Each row counts as a revision."""
-        v = self._mine(table)
+        v = table.folded(self._mine(table))
         cols = table.spec.columns
         staged = rows.select(*cols, F.col(f"`{order_by}`").cast("bigint").alias("__order")).withColumn(PK, table.spec.primary.key())
         # every row is one revision: a key's row has that of its last
-        counted, top = commit.numbered(staged, "__order", F.lit(True), REV, v.revision, table.name)
-        live = table.live(v)
-        done = commit.written(commit.modified(live, counted, REV, cols, folds), table.name)
-        out = commit.written(live.join(done.select(PK), PK, "left_anti").select(*cols, PK, REV).unionByName(done.select(*cols, PK, REV)), table.name, PK)
-        grave = None
-        if v.dead is not None or v.grave:
-            grave = commit.written(table.graveyard(v).join(done.select(PK), PK, "left_anti").select(*cols, PK, REV), f"{table.name}-graveyard", REV)
-        self.versions[table.name] = replace(v, revision=top, base=out, dead=grave, over={}, grave={})
-        self.deltas[table.name].append(Delta(b"", None, None, bulk=True))
+        counted, rev = commit.numbered(staged, "__order", F.lit(True), REV, v.revision, table.name)
+        done = commit.modified(table.live(v), counted, REV, cols, folds).withColumn("_op", F.lit("insert"))
+        self._bulk(table, v, commit.layer(done, cols, table.name), rev)
+
+    def guard_frame(self, table: Table, ops: DataFrame, order_by: str) -> DataFrame:
+        """Compare-and-swap and -delete in bulk, one operation a key, in order of a column of unique integers: `_op` takes effect where `_expected` is the revision of
+        the row there, or 0. A delete of what isn't there has no effect, whatever it expects.
+
+        Result: ops with _pk, `_result` (ok, missing or conflict) and `_had_old`, written before the operations that are ok are applied. A null expectation is a conflict.
+        """
+        keyed = ops.withColumn(PK, table.spec.primary.key()).withColumn("_expected", F.coalesce(F.col("_expected").cast("bigint"), F.lit(-1)))
+        results = commit.written(commit.guarded(self.frame(table), keyed, table.spec.columns), f"{table.name}-results")
+        self.apply(table, results.filter("_result = 'ok'"), order_by)
+        return results
 
     def register_initializer(self, table: Table, name: str) -> Callable[[WriteTxn], None]:
         """Marks the table as not yet loaded until the returned function is called with a transaction on it."""
@@ -420,7 +453,9 @@ class WriteTxn(Reader):
         for t in self.tables:
             v = self.versions[t.name]
             if len(v.over) > FOLD or len(v.grave) > FOLD:
-                v = replace(v, base=commit.written(t.live(v), t.name, PK), dead=commit.written(t.graveyard(v), f"{t.name}-graveyard", REV), over={}, grave={})
+                v = t.folded(v)
+            if v.layers is not self.base.versions[t.name].layers:
+                v = t.stacked(v, commit.compact(v.layers, t.spec.columns, v.low, t.name))
             spans[t.name] = replace(v, last_write=time.time())
         before = self.base.versions
         snap = self.engine.publish(spans)
@@ -492,21 +527,16 @@ class Engine:
             return Reader(self, self._root)
 
     def gc(self) -> dict[str, int]:
-        """Drops graveyard rows that every tracker has seen; the low watermark of each table."""
+        """Drops graveyard rows that every tracker has seen; the low watermark of each table. Nothing is written: their rows leave the files when layers are next written together."""
         out = {}
         for t in self.tables():
             with t.lock:
                 v = self.current(t)
                 low = min([v.revision, *(x.revision for x in t.trackers.values())])
                 out[t.name] = low
-                grave = {k: r for k, r in v.grave.items() if r is not None and r[1] > low}
-                if v.dead is not None:
-                    masked = {k: None for k, r in v.grave.items() if r is None}
-                    dead = commit.written(t.combined(v.dead, masked).filter(F.col(REV) > low), f"{t.name}-graveyard", REV)
-                else:
-                    dead = None
-                if grave != v.grave or v.dead is not None:
-                    self.publish({t.name: replace(v, grave=grave, dead=dead)})
+                grave = {k: r for k, r in v.grave.items() if r is None or r[1] > low}
+                if grave != v.grave or low > v.low:
+                    self.publish({t.name: t.stacked(replace(v, grave=grave, low=low), v.layers)})
                 self.metrics.gauge("low_watermark", f"{self.name}/{t.name}", low)
         return out
 

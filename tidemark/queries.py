@@ -358,26 +358,39 @@ def modify_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.read().frame(t).select("user_id", "event_id", "event_type", "value", F.col(access.REV).alias("rev"))
 
 
-def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations on orders that expect a revision: right, wrong, unguarded, or of an order that isn't there."""
-    base = live(spark, sf_dir, "orders")
-    ops = rows(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(0)).when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_orderkey") * 2 + 1).cast("bigint").alias("_expected"))
-    return commit.guarded(base, ops.withColumn(access.PK, PRIMARY["orders"].key()), [])
+def _guards(spark: SparkSession, sf_dir: str, op: str) -> tuple[Engine, Table, DataFrame]:
+    """Operations on orders that expect a revision: right, wrong, unguarded, or of an order that isn't there, applied in one transaction; their results."""
+    db, t, _ = loaded(spark, sf_dir, "orders")
+    at = db.read().frame(t).select("o_orderkey", F.col(access.REV).alias("rev"))
+    ops = rows(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 2).alias("o_orderkey")).join(at, "o_orderkey", "left")
+    expected = F.when(F.col("k") % 5 == 0, 0).when(F.col("k") % 3 == 0, 1).otherwise(F.coalesce("rev", F.lit(1))).cast("bigint")
+    with db.write(t) as w:
+        found = w.guard_frame(t, ops.select("o_orderkey", F.lit(0.5).alias("o_totalprice"), expected.alias("_expected"), F.lit(op).alias("_op")), "o_orderkey")
+    return db, t, found
 
 
-GUARDS = """WITH p AS (SELECT o_orderkey * 2 AS o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey * 2 + 1 END AS expected FROM orders),
-    j AS (SELECT p.o_orderkey, expected, o.o_orderkey + 1 AS rev FROM p LEFT JOIN orders o ON p.o_orderkey = o.o_orderkey)"""
+GUARDS = """WITH o AS (SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS rev FROM orders),
+    j AS (SELECT p.o_orderkey * 2 AS o_orderkey, rev, CASE WHEN p.o_orderkey % 5 = 0 THEN 0 WHEN p.o_orderkey % 3 = 0 THEN 1 ELSE coalesce(rev, 1) END AS expected
+        FROM orders p LEFT JOIN o ON p.o_orderkey * 2 = o.o_orderkey),
+    a AS (SELECT o_orderkey, (SELECT count(*) FROM orders) + CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS rev FROM j WHERE expected = 0 OR rev = expected)"""
 
 
 @query(GUARDS + " SELECT o_orderkey, CASE WHEN expected = 0 OR rev = expected THEN 'ok' WHEN rev IS NULL THEN 'missing' ELSE 'conflict' END AS result, rev IS NOT NULL AS had_old FROM j")
 def cas_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _guards(spark, sf_dir).select("o_orderkey", F.col("_result").alias("result"), F.col("_had_old").alias("had_old"))
+    return _guards(spark, sf_dir, "insert")[2].select("o_orderkey", F.col("_result").alias("result"), F.col("_had_old").alias("had_old"))
+
 
+@query(GUARDS + " SELECT o_orderkey, o_totalprice, rev FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a) UNION ALL SELECT o_orderkey, 0.5::DOUBLE, rev FROM a")
+def cas_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders after guarded writes in bulk."""
+    db, t, _ = _guards(spark, sf_dir, "insert")
+    return db.read().frame(t).select("o_orderkey", "o_totalprice", F.col(access.REV).alias("rev"))
 
-@query(GUARDS + " SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM j WHERE expected > 0 AND rev = expected)")
+
+@query(GUARDS + " SELECT o_orderkey, rev FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)")
 def compare_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = _guards(spark, sf_dir).filter("_expected > 0 and _result = 'ok'").select(access.PK)
-    return live(spark, sf_dir, "orders").join(gone, access.PK, "left_anti").select("o_orderkey")
+    db, t, _ = _guards(spark, sf_dir, "delete")
+    return db.read().frame(t).select("o_orderkey", F.col(access.REV).alias("rev"))
 
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders) + CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS rev FROM orders WHERE o_orderkey % 3 = 0")
