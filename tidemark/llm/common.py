@@ -43,11 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint, which Spark removes once nothing refers to it."""
+    """df behind a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets executors delete the shuffle files of what has been cut: Spark does so once the driver's collector finds that nothing refers to them, else only when its heap fills."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, materialised, with a broadcast hint only if it has no more than the given rows."""
     df = cut(df)

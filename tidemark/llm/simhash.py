@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small, text_of
+from tidemark.llm.common import cut, freed, small, text_of, written
 
 #: Bits at which fingerprints still link, and fingerprints that an anchor's block holds.
 DISTANCE, BLOCK = 3, 4096
@@ -349,15 +349,17 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     words = [f"f{k}" for k in range(WIDE)]
     own = cut(printed.groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in words]))
     pairs = cut(linked(met(own, words, ["key", *words[:3]], block), 3, [4, 5, 6], NOMINATED, True).distinct())
+    freed(docs.sparkSession)  # the anchors' rows, more than all that follows
     asked = own.select("key", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
     asked = small(asked.select(F.col("key").alias("__key"), F.col("id").alias("__id")))
     # one text for each key, by its smallest id; rows that repeat both give a pair more than once, which does no harm
     body = docs.select(key_of(text).alias("key"), F.col(f"`{id_col}`").alias("__own"), text_of(f"`{text}`").alias("body"))
-    texts = cut(body.join(asked, (F.col("key") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))).select("key", "body"))
+    texts = written(body.join(asked, (F.col("key") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))).select("key", "body"), "texts")
     one, two = texts.toDF("key_a", "text_a"), texts.toDF("key_b", "text_b")
     edges = verified(pairs.join(one, F.col("a") == F.col("key_a")).join(two, F.col("b") == F.col("key_b")), least, size).distinct()
     found = own.select("key", "id").join(components(edges), F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     found = cut(found)
+    freed(docs.sparkSession)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     first = found.groupBy(F.col("root").alias("__root")).agg(F.min(order).alias("__first"))
     return found.join(first, F.col("root") == F.col("__root")).select("key", "id", F.col("__first.key").alias("class_key"), F.col("__first.id").alias("class_id"))
