@@ -604,6 +604,47 @@ def test_near_copies(spark, block):
     assert set(got) == {k for k, _ in rows} and right >= 0.98 * len(rows) and all(got[k] == k for k in range(151, 171))
 
 
+def partition(classes):
+    """The classes of (member, class) as a set of sets."""
+    found = collections.defaultdict(set)
+    for member, c in classes:
+        found[c].add(member)
+    return {frozenset(x) for x in found.values()}
+
+
+def test_near_texts_whole(spark):
+    """Exactly the classes of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got, text = near_classes(docs), {r.key: r.text or "" for r in key_rows(docs)}
+    want = brute_near(text.values())
+    assert partition((k, got[k].class_key) for k in text) == partition((k, want[t]) for k, t in text.items())
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_near_chain(spark, block):
+    """No link in large groups is lost: chains whose texts are like their neighbours only, so that most links join neither a nearest nor a central text; near misses stay apart."""
+    rnd = random.Random(6)
+
+    def edited(words, times):
+        own = list(words)
+        for k in rnd.sample(range(len(own)), times):
+            own[k] = f"x{rnd.randrange(10**9)}"
+        return own
+
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(260)]
+    texts = []
+    for _ in range(4):
+        last = edited(base, 3)
+        for k in range(40):
+            texts.append(" ".join(last))
+            last = edited(last, 4 if k % 2 else 2)
+    texts += [" ".join(edited(base, rnd.randrange(4, 9))) for _ in range(300)]
+    rows = list(enumerate(texts))
+    got = {r.id: r.class_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    want = brute_near(texts)
+    assert len(set(want.values())) > 20 and partition(got.items()) == partition((k, want[t]) for k, t in rows)
+
+
 def test_near_edges(spark, edge):
     got = near_classes(edge)
     by_text = {(r.text or ""): got[r.key] for r in key_rows(edge)}

@@ -11,11 +11,13 @@ anchor with more than `block` fingerprints is split into blocks, and each pair o
 holds an unbounded group and no pair is missed. Comparing emits a spanning forest of the links, never all pairs.
 Components come from alternating stars over the forest, cut by checkpoints.
 
-`near_texts` finds what the 64 bits of three-word shingles can't: documents whose sets of five-word shingles have a Jaccard similarity of 0.8
-or more. It nominates with a wide SimHash of 256 bits over pairs of neighbouring words, whose eight halves of words each have
-their anchors; two fingerprints share one if any half has 2 differing bits or fewer, as then some anchor is within distance 2 of both.
-What is nominated is decided by the exact similarity of the whole texts. Within an anchor of more than eight texts the nominations are each text
-with its nearest and with the most central one, so that a group of n near copies costs some n comparisons of texts, not n * n.
+`near_texts` finds what the 64 bits of three-word shingles can't: all documents whose sets of five-word shingles have a Jaccard similarity of 0.8
+or more. A wide SimHash of 192 bits over pairs of neighbouring words nominates: its first word has anchors as above, and within an anchor of more than eight texts the nominations are
+each text with its nearest and with the most central one, so that a group of n near copies costs some n comparisons of texts, not n * n. What it misses is found exactly:
+sets that similar share a shingle among the first fifth of either, in any one order of all shingles (the prefix filter); the order is by
+frequency, rare ones first. Texts that share such a shingle are compared unless a bound rules them out: sizes, places in the order, and 512 parity bits, of which
+each shingle that only one text has flips one at most. In a group of more than eight, those nearest to a few central texts come first, and then all pairs that no link joins
+yet. Whatever is nominated is decided by the exact similarity of the whole texts.
 
 Free style: fingerprints and comparisons in Arrow batches with numpy; the rest are DataFrames.
 
@@ -35,8 +37,12 @@ from tidemark.llm.common import cut, freed, small, text_of, written
 
 #: Bits at which fingerprints still link, and fingerprints that an anchor's block holds.
 DISTANCE, BLOCK = 3, 4096
-#: Of near_texts: words of a shingle and similarity that decide; words of a feature, 64-bit words of the wide fingerprint, and bits of the first three of them at which texts are still compared.
-SHINGLE, SIMILARITY, FEATURE, WIDE, NOMINATED = 5, 0.8, 2, 4, 42
+#: Of near_texts: words of a shingle and similarity that decide; words of a feature, 64-bit words of the wide fingerprint, and bits of it at which texts are still compared.
+SHINGLE, SIMILARITY, FEATURE, WIDE, NOMINATED = 5, 0.8, 2, 3, 42
+#: Its prefix filter: 64-bit words of parity; bits of the buckets that order shingles by frequency, buckets that a task reports, and that are ordered at all (others go by hash; any order is exact).
+PARITY, BUCKET, REPORTED, ORDERED = 8, 20, 4096, 1 << 16
+#: Members of a group that are compared at once; of larger ones the texts among which central ones are sought, and how many of these.
+FEW, SAMPLE, CENTRAL = 8, 256, 32
 
 
 def ones_of(rows: np.ndarray) -> np.ndarray:
@@ -240,15 +246,16 @@ def linked(placed: DataFrame, key: int, compared: list[int], distance: int, near
     return placed.mapInArrow(run, "a long, b long")
 
 
-def met(distinct: DataFrame, words: list[str], carried: list[str], block: int) -> DataFrame:
-    """(anchor, p, q, carried), grouped and sorted: what meets at an anchor, those of more than `block` rows in pairs of blocks."""
+def met(distinct: DataFrame, words: list[str], carried: list[str], block: int, across: bool = True) -> DataFrame:
+    """(anchor, p, q, carried), grouped and sorted: what meets at an anchor, those of more than `block` rows in pairs of blocks or, unless `across`, in blocks alone."""
     # a row becomes up to 32 for each word, so few rows are dealt to all tasks first
     dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), carried[0])
     pairs = anchored(dealt, words, carried)
     large = pairs.groupBy("anchor").count().filter(F.col("count") > block).select(F.col("anchor").alias("__anchor"), F.ceil(F.col("count") / block).cast("int").alias("__n"))
     split = pairs.join(small(large), F.col("anchor") == F.col("__anchor"), "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     part = F.pmod(F.xxhash64(carried[0]), F.col("__n")).cast("long")
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1), lambda k: F.struct(F.least(part, k).alias("p"), F.greatest(part, k).alias("q")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1) if across else F.array(part)
+    meets = F.transform(others, lambda k: F.struct(F.least(part, k).alias("p"), F.greatest(part, k).alias("q")))
     placed = split.select("anchor", *carried, F.inline(meets)).select("anchor", "p", "q", *carried)
     return placed.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q", carried[0])
 
@@ -309,21 +316,266 @@ def key_of(text: str = "text") -> Column:
     return F.xxhash64(text_of(f"`{text}`"))
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: id, key, and the wide fingerprint f0, f1, ..."""
+def features(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """One row for each row of docs: id, key, n shingles, the wide fingerprint f0, f1, ..., and their parity p0, p1, ...
+
+    Besides, each task reports its most frequent buckets of shingles: rows of bucket (as key) and count (as a negative n).
+    """
     import pyarrow as pa
 
-    names = [f"f{k}" for k in range(WIDE)]
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, " + ", ".join(f"{x} long" for x in names)
+    names = [*(f"f{k}" for k in range(WIDE)), *(f"p{k}" for k in range(PARITY))]
+    kind = docs.schema[id_col].dataType
+    schema = f"id {kind.simpleString()}, key long, n long, " + ", ".join(f"{x} long" for x in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts, ids = set(), np.zeros(1 << BUCKET, np.int32), None
         for batch in batches:
-            got = np.array([wide_simhash(x) for x in batch.column(2).to_pylist()], np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k].copy()) for k in range(WIDE))], names=["id", "key", *names])
+            ids = batch.column(0).type
+            rows = []
+            for key, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = np.unique(shingle_hashes(x, size))
+                parity = np.packbits(np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64)
+                rows.append([len(h), *wide_simhash(x), *parity.tolist()])
+                if key not in seen:
+                    seen.add(key)
+                    buckets, times = np.unique(h >> np.uint64(64 - BUCKET), return_counts=True)
+                    counts[buckets.astype(np.int64)] += times.astype(np.int32)
+            got = np.array(rows, np.int64).reshape(-1, 1 + len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k].copy()) for k in range(got.shape[1]))], names=["id", "key", "n", *names])
+        if ids is not None:
+            top = np.flatnonzero(counts > 1)
+            top = top[np.argsort(-counts[top], kind="stable")[:REPORTED]]
+            none = pa.array(np.zeros(len(top), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), ids), pa.array(top), pa.array(-counts[top].astype(np.int64)), *[none for _ in names]], names=["id", "key", "n", *names])
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), key_of(text).alias("key"), text_of(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
+def prefixes(docs: DataFrame, text: str, least: float, size: int, order: list[tuple[int, int]]) -> DataFrame:
+    """(token, key, place): each text's first shingles by (frequency, hash), as many as a text that similar must share one of; place is n << 32 | position.
+
+    order has (bucket, count) of the frequent buckets. Texts without words share the token 0.
+    """
+    import pyarrow as pa
+
+    often = np.array(order, np.int64).reshape(-1, 2)
+    often = often[np.argsort(often[:, 0])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, seen = np.zeros(1 << BUCKET, np.int64), set()
+        weights[often[:, 0]] = often[:, 1]
+
+        def flushed(parts: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+            token = np.concatenate([h for h, _, _ in parts]).view(np.int64)
+            key = np.repeat(np.array([k for _, k, _ in parts], np.int64), [len(h) for h, _, _ in parts])
+            place = np.concatenate([n << 32 | np.arange(len(h)) for h, _, n in parts])
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(place)], names=["token", "key", "place"])
+
+        for batch in batches:
+            parts, held = [], 0
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                h = np.unique(shingle_hashes(x, size))
+                n = len(h)
+                first = min(n, n - int(np.ceil(least * n - 1e-6)) + 1)
+                h = h[np.lexsort((h, weights[(h >> np.uint64(64 - BUCKET)).astype(np.int64)]))[:first]] if n else np.zeros(1, np.uint64)
+                parts.append((h, key, n))
+                held += len(h)
+                if held >= 100_000:
+                    yield flushed(parts)
+                    parts, held = [], 0
+            if parts:
+                yield flushed(parts)
+
+    return docs.select(key_of(text).alias("key"), text_of(f"`{text}`").alias("text")).mapInArrow(run, "token long, key long, place long")
+
+
+def matrix(batch, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """A batch's columns of longs as the columns of one array."""
+    return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(first, batch.num_columns if stop is None else stop)], axis=1)
+
+
+def shared(placed: DataFrame) -> DataFrame:
+    """placed without rows that repeat and without tokens that only one text has."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], names=["token", "key", "place"])
+
+        # the last row, which waits for the next one's token, and whether the row before had its token
+        last, after = np.zeros((0, 3), np.int64), False
+        for batch in batches:
+            rows = np.concatenate([last, matrix(batch)])
+            rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]] if len(rows) else rows
+            if not len(rows):
+                continue
+            same = np.r_[after, rows[1:, 0] == rows[:-1, 0]]
+            keep = same[:-1] | same[1:]
+            if keep.any():
+                yield out(rows[:-1][keep])
+            last, after = rows[-1:], bool(same[-1])
+        if len(last) and after:
+            yield out(last)
+
+    return placed.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "token long, key long, place long")
+
+
+def possible(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows (place, parity) of one token may be at least so similar, never false if they are; and bits in which their parities differ. Broadcasts all but the last axis."""
+    x, y = a[..., 0], b[..., 0]
+    n, m, i, j = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+    differ = sum(np.bitwise_count((a[..., k] ^ b[..., k]).view(np.uint64)).astype(np.int16) for k in range(1, a.shape[-1]))
+    # shared shingles: at most those before the token in both, itself, and those after it in both
+    both = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
+    ok = (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (both >= least / (1 + least) * (n + m) - 1e-6)
+    return ok & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-6), differ
+
+
+def bounded(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) of keys without those that sizes or parities rule out; own has (key, n, parity)."""
+    parity = [f"p{k}" for k in range(PARITY)]
+    one, two = (own.select(*[F.col(c).alias(f"__{side}_{c}") for c in ["key", "n", *parity]]) for side in "ab")
+    both = pairs.join(one, F.col("a") == F.col("__a_key")).join(two, F.col("b") == F.col("__b_key"))
+    differ = sum((F.bit_count(F.col(f"__a_{c}").bitwiseXOR(F.col(f"__b_{c}"))) for c in parity), F.lit(0))
+    n, m = F.col("__a_n"), F.col("__b_n")
+    return both.filter((F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-6)).select("a", "b")
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def nominated(places: DataFrame, least: float) -> DataFrame:
+    """(token, key, place, parity) to pairs (a, b) of keys: all possible ones of small groups; of larger ones each text with the nearest of a few central ones."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def central(sample: np.ndarray) -> np.ndarray:
+            ok, _ = possible(sample[:, None, 2:], sample[None, :, 2:], least)
+            left, found = np.ones(len(sample), bool), []
+            while left.any() and len(found) < CENTRAL:
+                near = (ok & left).sum(axis=1)
+                v = int(near.argmax())
+                if near[v] < 2:
+                    break
+                found.append(v)
+                left &= ~ok[v]
+            return sample[found]
+
+        def star(rows: np.ndarray, centre: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at in range(0, len(rows) if len(centre) else 0, 4096):
+                part = rows[at : at + 4096]
+                ok, differ = possible(part[:, None, 2:], centre[None, :, 2:], least)
+                ok &= part[:, None, 1] != centre[None, :, 1]
+                near = np.where(ok, differ, np.iinfo(np.int16).max).argmin(axis=1)
+                got = ok[np.arange(len(part)), near]
+                yield part[got, 1], centre[near[got], 1]
+
+        def groups(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            sizes = np.diff(np.r_[starts, len(rows)])
+            few = np.repeat(sizes <= FEW, sizes)
+            for shift in range(1, FEW):
+                i = np.flatnonzero(few[:-shift] & (rows[:-shift, 0] == rows[shift:, 0]))
+                if not len(i):
+                    break
+                i = i[possible(rows[i, 2:], rows[i + shift, 2:], least)[0]]
+                yield rows[i, 1], rows[i + shift, 1]
+            for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+                yield from star(rows[at : at + n], central(rows[at : at + min(n, SAMPLE)]))
+
+        held, centre = None, None
+        for batch in batches:
+            rows = matrix(batch)
+            if not len(rows):
+                continue
+            found = []
+            if held is not None and centre is not None:
+                # held is a row of the group whose central texts are known
+                more = int(np.searchsorted(rows[:, 0], held[0, 0], "right"))
+                found.extend(star(rows[:more], centre))
+                if more == len(rows):
+                    edge, rows = 0, rows[:0]
+                else:
+                    held, centre, rows = None, None, rows[more:]
+            elif held is not None:
+                rows = np.concatenate([held, rows])
+            if len(rows):
+                edge = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                if edge:
+                    found.extend(groups(rows[:edge]))
+                held = rows[edge:]
+                if len(held) > SAMPLE:
+                    centre = central(held[:SAMPLE])
+                    found.extend(star(held, centre))
+                    held = held[:1]
+            if found:
+                yield pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        if held is not None and centre is None and (found := list(groups(held))):
+            yield pair_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    return places.repartition("token").sortWithinPartitions("token", "key").mapInArrow(run, "a long, b long")
+
+
+def remaining(places: DataFrame, found: DataFrame, least: float, block: int) -> DataFrame:
+    """All possible pairs (a, b) of keys in groups of more than a few that found, (node, root), doesn't join yet, each pair once.
+
+    Members outside a group's most frequent class meet all, in blocks of some `block`, against which the group is read as a stream.
+    """
+    import pyarrow as pa
+
+    large = places.join(places.groupBy("token").count().filter(F.col("count") > FEW).select("token"), "token", "left_semi")
+    rows = cut(large.join(found, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node"))
+    tally = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("roots"))
+    split = tally.filter("roots > 1").select("token", F.col("most.root").alias("usual"), F.ceil((F.col("all") - F.col("most.count")) / block).cast("long").alias("blocks"))
+    several = rows.join(split, "token")
+    # a pair meets at each token that both have; it is taken at the least
+    tokens = several.groupBy("key").agg(F.collect_list("token").alias("tokens")).withColumnRenamed("key", "__key")
+    own = F.struct(F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("kind"))
+    seen = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.when(F.col("root") == F.col("usual"), 1).otherwise(2).cast("long").alias("kind")))
+    meets = F.when(F.col("root") == F.col("usual"), seen).otherwise(F.concat(F.array(own), seen))
+    parity = [f"p{k}" for k in range(PARITY)]
+    dealt = several.join(tokens, F.col("key") == F.col("__key")).select("token", F.inline(meets), "key", "root", "place", *parity, "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_tokens = None, []
+        for batch in batches:
+            rows, lists = matrix(batch, 0, 6 + PARITY), batch.column(6 + PARITY)
+            if not len(rows):
+                continue
+            starts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
+            for at, end in zip(starts, starts[1:], strict=False):
+                part = rows[at:end]
+                if held is not None and (part[0, :2] != held[0, :2]).any():
+                    held, held_tokens = None, []
+                if part[0, 2] == 0:
+                    held = part if held is None else np.concatenate([held, part])
+                    held_tokens += [np.array(x.as_py()) for x in lists[at:end]]
+                    continue
+                tile = max(1, (1 << 18) // len(held))
+                for k in range(0, len(part), tile):
+                    some = part[k : k + tile]
+                    ok = possible(some[:, None, 5:], held[None, :, 5:], least)[0] & (some[:, None, 4] != held[None, :, 4])
+                    if part[0, 2] == 2:
+                        ok &= some[:, None, 3] < held[None, :, 3]
+                    i, j = np.nonzero(ok)
+                    if not len(i):
+                        continue
+                    theirs = {int(x): np.array(lists[at + k + int(x)].as_py()) for x in np.unique(i)}
+                    least_of = [np.intersect1d(theirs[x], held_tokens[y], assume_unique=True)[0] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    first = np.array(least_of) == some[0, 0]
+                    if first.any():
+                        yield pair_batch(some[i[first], 3], held[j[first], 3])
+
+    return dealt.repartition("token", "block").sortWithinPartitions("token", "block", "kind", "key").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:
     """(a, b, text_a, text_b) to those (a, b) whose texts are at least so similar."""
     import pyarrow as pa
@@ -338,25 +590,38 @@ def verified(pairs: DataFrame, least: float, size: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row for each distinct text of docs: (key, id, class_key, class_id).
-
-    key is the text's hash, id the smallest id that has it, class_key and class_id those of the text that stands for its class: the
-    one with the smallest id (then key) among all that links reach. Rows with equal texts are one text, whatever their ids; rows that share an id but not
-    a text stay apart; null ids are larger than others; texts without words are alike; no rows give no rows.
-    """
-    printed = wide_fingerprints(docs, id_col, text)
-    words = [f"f{k}" for k in range(WIDE)]
-    own = cut(printed.groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in words]))
-    pairs = cut(linked(met(own, words, ["key", *words[:3]], block), 3, [4, 5, 6], NOMINATED, True).distinct())
-    freed(docs.sparkSession)  # the anchors' rows, more than all that follows
+def decided(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text: str, least: float, size: int) -> DataFrame:
+    """pairs (a, b) of keys to those whose texts are at least so similar. own has (key, id)."""
     asked = own.select("key", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
     asked = small(asked.select(F.col("key").alias("__key"), F.col("id").alias("__id")))
     # one text for each key, by its smallest id; rows that repeat both give a pair more than once, which does no harm
     body = docs.select(key_of(text).alias("key"), F.col(f"`{id_col}`").alias("__own"), text_of(f"`{text}`").alias("body"))
     texts = written(body.join(asked, (F.col("key") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))).select("key", "body"), "texts")
     one, two = texts.toDF("key_a", "text_a"), texts.toDF("key_b", "text_b")
-    edges = verified(pairs.join(one, F.col("a") == F.col("key_a")).join(two, F.col("b") == F.col("key_b")), least, size).distinct()
+    return verified(pairs.join(one, F.col("a") == F.col("key_a")).join(two, F.col("b") == F.col("key_b")), least, size).distinct()
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row for each distinct text of docs: (key, id, class_key, class_id).
+
+    key is the text's hash, id the smallest id that has it, class_key and class_id those of the text that stands for its class: the
+    one with the smallest id (then key) among all that links reach. Links are all pairs of a similarity of `least` (above 0) or more. Rows with equal texts are one text, whatever their ids; rows that share an id but not
+    a text stay apart; null ids are larger than others; texts without words are alike; no rows give no rows.
+    """
+    printed = cut(features(docs, id_col, text, size))
+    words, parity = [f"f{k}" for k in range(WIDE)], [f"p{k}" for k in range(PARITY)]
+    own = cut(printed.filter("n >= 0").groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in ["n", *words, *parity]]))
+    order = printed.filter("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("times")).orderBy(F.desc("times"), "key").limit(ORDERED)
+    placed = shared(prefixes(docs, text, least, size, [tuple(r) for r in order.collect()]))
+    places = written(placed.join(own.select("key", *parity), "key").select("token", "key", "place", *parity), "places")
+    freed(docs.sparkSession)  # the shuffle files of the tokens
+    simhashed = linked(met(own, words[:1], ["key", *words], block, False), 3, list(range(4, 4 + WIDE)), NOMINATED, True)
+    pairs = cut(bounded(simhashed.distinct(), own, least).unionByName(nominated(places, least)).distinct())
+    freed(docs.sparkSession)  # those of the anchors
+    near = components(decided(pairs, own, docs, id_col, text, least, size))
+    freed(docs.sparkSession)  # those of the texts
+    rest = cut(remaining(places, near, least, block).distinct())
+    edges = decided(rest, own, docs, id_col, text, least, size).unionByName(near.select(F.col("root").alias("a"), F.col("node").alias("b")))
     found = own.select("key", "id").join(components(edges), F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     found = cut(found)
     freed(docs.sparkSession)
