@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -645,6 +646,36 @@ def test_near_chain(spark, block):
     assert len(set(want.values())) > 20 and partition(got.items()) == partition((k, want[t]) for k, t in rows)
 
 
+def test_near_bound(spark, monkeypatch):
+    """Of long texts only those move that are similar enough or almost so; classes are those of brute force."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(1500)]
+    texts = [" ".join(base)]
+    for times in [5, 10, 20, 25, 28, 30, 32, 33, 34, 36, 40] + [50, 60, 70] * 6:
+        own = list(base)
+        for k in rnd.sample(range(1500), times):
+            own[k] = f"x{rnd.randrange(10**9)}"
+        texts.append(" ".join(own))
+    rows, moved, verified = list(enumerate(texts)), [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: [moved.extend(pairs.collect()), verified(pairs, *a)][1])
+    got = {r.id: r.class_id for r in simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_near(texts)
+    assert partition(got.items()) == partition((k, want[t]) for k, t in rows)
+    assert moved and all(simhash.similarity(r.text_a, r.text_b) >= 0.75 for r in moved)
+
+
+def test_parity_bound():
+    """Parities of any two widths differ in no more bits than the sets do in hashes, and in almost as many if these are few."""
+    rnd = np.random.default_rng(9)
+    for n in (0, 1, 100, 256, 257, 1500, 40000):
+        h = rnd.integers(0, 2**64, n, np.uint64)
+        for gone in {0, n // 50, n // 10, n}:
+            x, y = (simhash.parity_of(z) for z in (h, np.concatenate([h[gone:], rnd.integers(0, 2**64, gone // 2, np.uint64)])))
+            words = min(len(x), len(y))
+            differ = int(np.bitwise_count(simhash.folded(x, words) ^ simhash.folded(y, words)).sum(dtype=np.int64))
+            assert differ <= gone + gone // 2 and (gone == n or differ >= 0.8 * (gone + gone // 2))
+
+
 def test_near_edges(spark, edge):
     got = near_classes(edge)
     by_text = {(r.text or ""): got[r.key] for r in key_rows(edge)}

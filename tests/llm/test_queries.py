@@ -103,3 +103,10 @@ def test_near_dedup_edges(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert got.columns == docs.columns
     assert {(r.doc_id, r.text, r.component_id) for r in got.collect()} == {(None, rows[0][1], 1), (4, "b b b", 1), (4, None, 3)}
+
+
+def test_near_dedup_deals_texts_once(spark, sf_dir):
+    """Rows are dealt for the join, and not again for the aggregation."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"functions=\[min\(__row[^\n]*\n\W*SortAggregate[^\n]*partial_min\(__row", plan)

@@ -17,7 +17,7 @@ each text with its nearest and with the most central one, so that a group of n n
 sets that similar share a shingle among the first fifth of either, in any one order of all shingles (the prefix filter); the order is by
 frequency, rare ones first. Texts that share such a shingle are compared unless a bound rules them out: sizes, places in the order, and 512 parity bits, of which
 each shingle that only one text has flips one at most. In a group of more than eight, those nearest to a few central texts come first, and then all pairs that no link joins
-yet. Whatever is nominated is decided by the exact similarity of the whole texts.
+yet. Of the pairs, those go on that parities as wide as their texts allow, too; only for these do texts move. Whatever is left is decided by the exact similarity of the whole texts.
 
 Free style: fingerprints and comparisons in Arrow batches with numpy; the rest are DataFrames.
 
@@ -316,8 +316,19 @@ def key_of(text: str = "text") -> Column:
     return F.xxhash64(text_of(f"`{text}`"))
 
 
+def parity_of(h: np.ndarray) -> np.ndarray:
+    """Of distinct hashes, by their lowest bits: whether an odd number has each value. As 64-bit words, a power of two of them: two to four bits a hash, PARITY words at least."""
+    bits = max(64 * PARITY, 1 << max(0, 2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """The parity by fewer of the lowest bits."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, words), axis=0)
+
+
 def features(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """One row for each row of docs: id, key, n shingles, the wide fingerprint f0, f1, ..., and their parity p0, p1, ...
+    """One row for each row of docs: id, key, n shingles, the wide fingerprint f0, f1, ..., their parity p0, p1, ..., and fine, the parity in two to four bits a shingle.
 
     Besides, each task reports its most frequent buckets of shingles: rows of bucket (as key) and count (as a negative n).
     """
@@ -325,28 +336,30 @@ def features(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
 
     names = [*(f"f{k}" for k in range(WIDE)), *(f"p{k}" for k in range(PARITY))]
     kind = docs.schema[id_col].dataType
-    schema = f"id {kind.simpleString()}, key long, n long, " + ", ".join(f"{x} long" for x in names)
+    schema = f"id {kind.simpleString()}, key long, n long, " + ", ".join(f"{x} long" for x in names) + ", fine binary"
+    names = ["id", "key", "n", *names, "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, ids = set(), np.zeros(1 << BUCKET, np.int32), None
         for batch in batches:
             ids = batch.column(0).type
-            rows = []
+            rows, wide = [], []
             for key, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h = np.unique(shingle_hashes(x, size))
-                parity = np.packbits(np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64)
-                rows.append([len(h), *wide_simhash(x), *parity.tolist()])
+                fine = parity_of(h)
+                rows.append([len(h), *wide_simhash(x), *folded(fine, PARITY).view(np.int64).tolist()])
+                wide.append(fine.tobytes())
                 if key not in seen:
                     seen.add(key)
                     buckets, times = np.unique(h >> np.uint64(64 - BUCKET), return_counts=True)
                     counts[buckets.astype(np.int64)] += times.astype(np.int32)
-            got = np.array(rows, np.int64).reshape(-1, 1 + len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k].copy()) for k in range(got.shape[1]))], names=["id", "key", "n", *names])
+            got = np.array(rows, np.int64).reshape(-1, len(names) - 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k].copy()) for k in range(got.shape[1])), pa.array(wide, pa.binary())], names=names)
         if ids is not None:
             top = np.flatnonzero(counts > 1)
             top = top[np.argsort(-counts[top], kind="stable")[:REPORTED]]
             none = pa.array(np.zeros(len(top), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), ids), pa.array(top), pa.array(-counts[top].astype(np.int64)), *[none for _ in names]], names=["id", "key", "n", *names])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), ids), pa.array(top), pa.array(-counts[top].astype(np.int64)), *[none for _ in names[3:-1]], pa.nulls(len(top), pa.binary())], names=names)
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), key_of(text).alias("key"), text_of(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
@@ -435,13 +448,25 @@ def possible(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np
 
 
 def bounded(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) of keys without those that sizes or parities rule out; own has (key, n, parity)."""
-    parity = [f"p{k}" for k in range(PARITY)]
-    one, two = (own.select(*[F.col(c).alias(f"__{side}_{c}") for c in ["key", "n", *parity]]) for side in "ab")
+    """pairs (a, b) of keys without those that sizes or parities rule out, never one that is at least so similar; own has (key, n, fine)."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            most = (1 - least) / (1 + least) * (n + m) + 1e-6
+            ok = np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6
+            for k in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
+                words = min(len(x), len(y))
+                ok[k] = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum(dtype=np.int64)) <= most[k]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], names=["a", "b"])
+
+    asked = small(pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct())
+    known = own.join(asked, F.col("key") == F.col("__key"), "left_semi")
+    one, two = (known.select(*[F.col(c).alias(f"__{side}_{c}") for c in ["key", "n", "fine"]]) for side in "ab")
     both = pairs.join(one, F.col("a") == F.col("__a_key")).join(two, F.col("b") == F.col("__b_key"))
-    differ = sum((F.bit_count(F.col(f"__a_{c}").bitwiseXOR(F.col(f"__b_{c}"))) for c in parity), F.lit(0))
-    n, m = F.col("__a_n"), F.col("__b_n")
-    return both.filter((F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-6)).select("a", "b")
+    return both.select("a", "b", "__a_n", "__b_n", "__a_fine", "__b_fine").mapInArrow(run, "a long, b long")
 
 
 def pair_batch(a: np.ndarray, b: np.ndarray):
@@ -610,18 +635,18 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     """
     printed = cut(features(docs, id_col, text, size))
     words, parity = [f"f{k}" for k in range(WIDE)], [f"p{k}" for k in range(PARITY)]
-    own = cut(printed.filter("n >= 0").groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in ["n", *words, *parity]]))
+    own = cut(printed.filter("n >= 0").groupBy("key").agg(F.min("id").alias("id"), *[F.min(w).alias(w) for w in ["n", *words, *parity, "fine"]]))
     order = printed.filter("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("times")).orderBy(F.desc("times"), "key").limit(ORDERED)
     placed = shared(prefixes(docs, text, least, size, [tuple(r) for r in order.collect()]))
     places = written(placed.join(own.select("key", *parity), "key").select("token", "key", "place", *parity), "places")
     freed(docs.sparkSession)  # the shuffle files of the tokens
     simhashed = linked(met(own, words[:1], ["key", *words], block, False), 3, list(range(4, 4 + WIDE)), NOMINATED, True)
-    pairs = cut(bounded(simhashed.distinct(), own, least).unionByName(nominated(places, least)).distinct())
+    pairs = cut(simhashed.unionByName(nominated(places, least)).distinct())
     freed(docs.sparkSession)  # those of the anchors
-    near = components(decided(pairs, own, docs, id_col, text, least, size))
+    near = components(decided(cut(bounded(pairs, own, least)), own, docs, id_col, text, least, size))
     freed(docs.sparkSession)  # those of the texts
     rest = cut(remaining(places, near, least, block).distinct())
-    edges = decided(rest, own, docs, id_col, text, least, size).unionByName(near.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    edges = decided(cut(bounded(rest, own, least)), own, docs, id_col, text, least, size).unionByName(near.select(F.col("root").alias("a"), F.col("node").alias("b")))
     found = own.select("key", "id").join(components(edges), F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     found = cut(found)
     freed(docs.sparkSession)
