@@ -108,5 +108,9 @@ def test_near_dedup_edges(spark):
 def test_near_dedup_deals_texts_once(spark, sf_dir):
     """Rows are dealt for the join, and not again for the aggregation."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plan = corpus_pipeline.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to broadcast
+    try:
+        plan = corpus_pipeline.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert re.search(r"functions=\[min\(__row[^\n]*\n\W*SortAggregate[^\n]*partial_min\(__row", plan)
